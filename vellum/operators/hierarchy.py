@@ -96,11 +96,12 @@ def links_by_path(df: DataFrame, space: str, node: str, scope: str, parent: str,
 
 
 def components(links: DataFrame, cuts: Cuts) -> DataFrame:
-    """Each node's component, by pointer doubling: (space, node, jump, label, top).
+    """Each node's component, by pointer doubling: (space, node, jump, label, hops, top).
 
     After i rounds `jump` is the ancestor 2^i links up. Nodes that reach a top are settled with it
     as label; the rest lead into cycles, and their label is the smallest id on the cycle, known once
     a jump is longer than there are such nodes. Rounds: log2 of the depth, or of the nodes at cycles.
+    `hops` counts the links up to the top. Nodes may be of any type that can be ordered.
     """
     is_top = F.col("parent").isNull()
     here = cuts.cut(
@@ -110,6 +111,7 @@ def components(links: DataFrame, cuts: Cuts) -> DataFrame:
             F.coalesce("parent", "node").alias("jump"),
             F.when(is_top, F.col("node")).alias("label"),
             F.col("node").alias("least"),
+            F.when(is_top, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("hops"),
         )
     )
     settled = here.where(F.col("label").isNotNull())
@@ -117,13 +119,14 @@ def components(links: DataFrame, cuts: Cuts) -> DataFrame:
     parts = [settled]
     left, span = moving.count(), 1
     while left:
-        to = here.select(F.col("space").alias("s"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("label").alias("l"), F.col("least").alias("m"))
+        to = here.select(F.col("space").alias("s"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("label").alias("l"), F.col("least").alias("m"), F.col("hops").alias("h"))
         stepped = moving.join(to, (F.col("space") == F.col("s")) & (F.col("jump") == F.col("n"))).select(
             "space",
             "node",
             F.when(F.col("l").isNull(), F.col("j")).otherwise(F.col("jump")).alias("jump"),
             F.col("l").alias("label"),
             F.least("least", "m").alias("least"),
+            (F.col("hops") + F.col("h")).alias("hops"),
         )
         step = cuts.cut(stepped)
         span *= 2
@@ -133,11 +136,11 @@ def components(links: DataFrame, cuts: Cuts) -> DataFrame:
         if left == before and span > left:
             break
         here = _union(parts[:-1]).unionByName(step)
-    done = _union(parts).select("space", "node", "jump", "label", F.lit(True).alias("top"))
+    done = _union(parts).select("space", "node", "jump", "label", "hops", F.lit(True).alias("top"))
     if not left:
         return done
     at = moving.select(F.col("space").alias("s"), F.col("node").alias("n"), F.col("least").alias("m"))
-    looped = moving.join(at, (F.col("space") == F.col("s")) & (F.col("jump") == F.col("n"))).select("space", "node", "jump", F.col("m").alias("label"), F.lit(False).alias("top"))
+    looped = moving.join(at, (F.col("space") == F.col("s")) & (F.col("jump") == F.col("n"))).select("space", "node", "jump", F.col("m").alias("label"), "hops", F.lit(False).alias("top"))
     return done.unionByName(looped)
 
 
