@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.llm import split_queries, quantile_queries
+from vellum.llm import budget_queries, conversation_queries, quantile_queries, split_queries
 
-_MODULES = [split_queries, quantile_queries]
+_MODULES = [budget_queries, conversation_queries, quantile_queries, split_queries]
 
 
 def queries() -> dict:
