@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.llm import budget_queries, conversation_queries, quantile_queries, split_queries
+from vellum.llm import budget_queries, conversation_queries, lookalike_queries, packing_queries, quantile_queries, reading_queries, split_queries, tokenize_queries
 
-_MODULES = [budget_queries, conversation_queries, quantile_queries, split_queries]
+_MODULES = [budget_queries, conversation_queries, lookalike_queries, packing_queries, quantile_queries, reading_queries, split_queries, tokenize_queries]
 
 
 def queries() -> dict:
