@@ -81,7 +81,7 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
         far = state.where(F.col("left") > finish)
         if not far.limit(1).count():
             break
-        proposed = rest.join(far.select(*key), key, "left_semi").select(*key, F.expr("element_at(vals, (size(vals) + 1) div 2)").alias("median"), F.size("vals").cast("bigint").alias("weight"))
+        proposed = rest.join(far.select(*key), key, "left_semi").select(*key, F.expr("element_at(vals, cast((size(vals) + 1) div 2 as int))").alias("median"), F.size("vals").cast("bigint").alias("weight"))
         by_median = proposed.groupBy(*key, "median").agg(F.sum("weight").alias("weight"))
         order = Window.partitionBy(*key).orderBy("median")
         total = Window.partitionBy(*key)
