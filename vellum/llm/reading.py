@@ -91,7 +91,9 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
 
 
 def familiar_words(frequencies: DataFrame) -> dict[str, dict[str, float]]:
-    """Words and their shares per language, down to FLOOR; its size is bounded, see FLOOR."""
+    """Words and their shares per language, down to FLOOR; its size is bounded, see FLOOR.
+
+    `frequencies`: a stored table; it is read twice."""
     totals = frequencies.where("word = ''").select("lang", F.col("n").alias("total"))
     listed = frequencies.where("word <> ''").join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= FLOOR)
     lists: dict[str, dict[str, float]] = {}

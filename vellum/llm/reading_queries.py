@@ -13,8 +13,9 @@ from vellum.sources.tables import table
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Reading level of each document."""
     documents = table(spark, folder, "documents")
-    lists = familiar_words(document_frequencies(documents))
-    found = Cuts(spark).cut(features(documents, lists))
+    cuts = Cuts(spark)
+    lists = familiar_words(cuts.cut(document_frequencies(documents)))
+    found = cuts.cut(features(documents, lists))
     return reading_levels(found, table(spark, folder, "reading_label"))
 
 
