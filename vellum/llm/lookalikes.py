@@ -25,9 +25,9 @@ A А Α|B В Β|C С -|E Е Ε|H Н Η|I І Ι|J Ј -|K К Κ|M М Μ|N - Ν|O 
 a а α|c с ϲ|d ԁ -|e е -|h һ -|i і ι|j ј ϳ|l ӏ -|o о ο|p р ρ|q ԛ -|s ѕ -|u - υ|v ѵ ν|w ԝ -|x х -|y у -|k - κ
 """
 # Kinds of hyphen and minus, of apostrophe, of quotation mark.
-HYPHENS = "‐‑‒–—―−﹘﹣－⁃"
-APOSTROPHES = "‘’‚‛′‵`´ʹʼʻʽˈ＇‹›"
-QUOTES = "“”„‟″‶«»＂"
+HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d\u2043"
+APOSTROPHES = "\u2018\u2019\u201a\u201b\u2032\u2035`\u00b4\u02b9\u02bc\u02bb\u02bd\u02c8\uff07\u2039\u203a"
+QUOTES = "\u201c\u201d\u201e\u201f\u2033\u2036\u00ab\u00bb\uff02"
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 REMEMBER = 300_000
 
@@ -160,7 +160,7 @@ def _clusters(token: str) -> Iterator[tuple[int, str]]:
     """Stretches of a token that normalize independently: a character with its marks and fillers."""
     start = 0
     for i in range(1, len(token) + 1):
-        if i == len(token) or not (unicodedata.category(token[i])[0] == "M" or _invisible(token[i]) or "ᅠ" <= token[i] <= "ᇿ" or token[i] in "ﾞﾟ"):
+        if i == len(token) or not (unicodedata.category(token[i])[0] == "M" or _invisible(token[i]) or "\u1160" <= token[i] <= "\u11ff" or token[i] in "\uff9e\uff9f"):
             yield start, token[start:i]
             start = i
 
