@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import hierarchy
+from vellum.plans import hierarchy, monitor, ranking, retrieval
 
-_MODULES = [hierarchy]
+_MODULES = [hierarchy, ranking, retrieval, monitor]
 
 
 def queries() -> dict:
