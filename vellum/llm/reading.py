@@ -165,7 +165,7 @@ def fit(rows: list[tuple[list[float], float, float]]) -> list[tuple[int, np.ndar
     only one side of a level, the odds are those of the labels alone (never, without rows)."""
     models = []
     levels = np.array([r[2] for r in rows])
-    shares = np.array([r[0] for r in rows]).reshape(len(rows), -1)
+    shares = np.array([r[0] for r in rows]).reshape(len(rows), len(SHARES))
     lengths = np.log1p(np.array([r[1] for r in rows]))
     for level in (2, 3, 4):
         y = (levels >= level - 0.5).astype(float)
