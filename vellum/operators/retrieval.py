@@ -50,7 +50,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
     for b in range(blocks):
         rows = stored.where(F.col("block") == b).select(key, vector).collect()
         ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
 
         def score(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
