@@ -70,6 +70,7 @@ class Normalizer:
 
     def __init__(self):
         self.known: dict[str, tuple[str, frozenset[str], str]] = {}
+        self.formed: dict[tuple[str, str], tuple[str, range | list[int]]] = {}
 
     def _token(self, token: str) -> tuple[str, frozenset[str], str]:
         """(decomposed form without invisible characters, scripts it fits, its script if that is one)."""
@@ -117,38 +118,50 @@ class Normalizer:
             return plain
         return _spell_cached(plain, fit, main)
 
+    def _formed(self, token: str, plain: str, fit: frozenset[str], main: str) -> tuple[str, range | list[int]]:
+        """The form of one token in a text of that main script, and offsets into the token; remembered."""
+        seen = self.formed.get((token, main))
+        if seen is None:
+            if plain == token and token.isascii() and main == "LATIN":
+                seen = token, range(len(token))
+            else:
+                chars: list[str] = []
+                offsets: list[int] = []
+                for at, cluster in _clusters(token):
+                    shown = "".join(c for c in cluster if not _invisible(c)).translate(_FOLD)
+                    piece = self._spell(unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", shown).translate(_FOLD)), fit, main)
+                    for k, c in enumerate(c for c in piece if not _invisible(c)):
+                        if not (c == " " and (not chars or chars[-1] == " ")):
+                            chars.append(c)
+                            offsets.append(at + min(k, len(cluster) - 1))
+                if chars and chars[-1] == " ":
+                    chars.pop()
+                    offsets.pop()
+                seen = "".join(chars), offsets
+            if len(self.formed) >= REMEMBER:
+                self.formed.clear()
+            if len(token) <= 64:
+                self.formed[token, main] = seen
+        return seen
+
     def form_with_offsets(self, text: str) -> tuple[str, list[int]]:
         """The form, and for each of its characters the index of the character it came from."""
-        tokens = [(m.start(), m.group(), self._token(m.group())) for m in re.finditer(r"\S+", text)]
-        main = self._main([t for _, _, t in tokens])
+        tokens = [(m.start(), m.group()) for m in re.finditer(r"\S+", text)]
+        parts = [self._token(t) for _, t in tokens]
+        main = self._main(parts)
         out: list[str] = []
         offsets: list[int] = []
         end = 0
-        for start, token, (plain, fit, _) in tokens:
-            formed: list[tuple[str, int]] = []
-            if plain == token and token.isascii() and main == "LATIN":
-                formed = list(zip(token, range(start, start + len(token))))
-            for at, cluster in () if formed else _clusters(token):
-                piece = self._spell(unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", "".join(c for c in cluster if not _invisible(c)).translate(_FOLD)).translate(_FOLD)), fit, main)
-                for k, c in enumerate(c for c in piece if not _invisible(c)):
-                    formed.append((c, start + at + min(k, len(cluster) - 1)))
-            for c, at in formed:
-                if c.isspace():
-                    if out and out[-1] != " ":
-                        out.append(" ")
-                        offsets.append(at)
-                    continue
-                if out and out[-1] != " " and start > end and at >= start and offsets[-1] < start:
-                    out.append(" ")
-                    offsets.append(end)
-                out.append(c)
-                offsets.append(at)
-            if formed:
-                end = start + len(token)
-        if out and out[-1] == " ":
-            out.pop()
-            offsets.pop()
-        return "".join(out), offsets
+        for (start, token), (plain, fit, _) in zip(tokens, parts):
+            formed, inside = self._formed(token, plain, fit, main)
+            if not formed:
+                continue
+            if out:
+                offsets.append(end)
+            out.append(formed)
+            offsets += range(start, start + len(formed)) if type(inside) is range else [start + i for i in inside]
+            end = start + len(token)
+        return " ".join(out), offsets
 
 
 @lru_cache(1 << 17)
