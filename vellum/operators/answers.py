@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from vellum.operators import ranking as R
 from vellum.operators import verify as V
 
-# Rounds at most; small-talk intents get no search.
+# Rounds at most; phrases that state a verdict on the asker's system.
 MAX_ROUNDS = 2
+VERDICTS = (
+    "your system is high-risk",
+    "your system is a high-risk",
+    "is a high-risk ai system",
+    "your tool is high-risk",
+    "you are a provider",
+    "you must comply",
+    "this is prohibited",
+    "your system is not high-risk",
+    "is not high-risk",
+    "you do not need to",
+)
 
 
 def gather_evidence(hits: DataFrame, units: DataFrame, by: str = "query_id", candidates: int = 20, budget: int = R.EVIDENCE_BUDGET) -> DataFrame:
@@ -75,7 +87,8 @@ def score_cases(results: DataFrame) -> DataFrame:
     cited = F.array_distinct(F.filter(F.transform("cited", label), lambda x: x.isNotNull()))
     found, expected = F.size(F.array_intersect("expected", cited)), F.size(F.array_distinct("expected"))
     abstained = F.col("verdict") == "abstained"
-    leak = F.lower(F.coalesce("blob", F.lit(""))).rlike("you must comply|this is prohibited|you do not need to|is (not )?high-risk")
+    blob = F.lower(F.coalesce("blob", F.lit("")))
+    leak = F.exists(F.array(*map(F.lit, VERDICTS)), lambda phrase: F.contains(blob, phrase))
     return results.select("id", F.when(expected == 0, F.lit(1.0)).otherwise(found / expected).alias("recall"), (abstained == F.col("should_abstain")).alias("right"), leak.alias("leaked"))
 
 

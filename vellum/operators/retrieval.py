@@ -25,8 +25,8 @@ def active_units(units: DataFrame, versions: DataFrame, sources: DataFrame, keys
     named = sources.select("source_id", "source_key", "title", F.lower("authority").alias("authority"))
     if keys is not None:
         named = named.where(F.col("source_key").isin(keys))
-    own = units.select("unit_id", "document_version_id", "parent_id", "unit_type", "unit_number", "unit_path", "heading", "text", "ordinal").dropDuplicates(["unit_id"])
-    return own.join(active, "document_version_id").join(named, "source_id")
+    own = units.select("unit_id", "document_version_id", "parent_id", "unit_type", "unit_number", "unit_path", "heading", "text", "ordinal")
+    return own.join(active, "document_version_id").join(named, "source_id").dropDuplicates(["unit_id"])
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ class Cuts:
     def __init__(self, spark: SparkSession, keep: int | None = None):
         self.spark, self.keep, self.paths = spark, keep, []
         self.root = f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
@@ -61,6 +63,13 @@ class Cuts:
             self.drop(self.paths[-self.keep - 1])
         return self.spark.read.schema(schema).parquet(path)
 
+    def clear(self) -> None:
+        """Remove all tables; at the end of the session at the latest."""
+        try:
+            self.drop(self.root)
+        except Exception:  # the session is gone
+            pass
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
