@@ -9,13 +9,15 @@ three ways, and only the side that holds the wanted rank is kept for the next ro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.session import Cuts
 
 #: A group with no more values than this left is finished by sorting them.
-FINISH = 4_096
+FINISH = 64
 
 
 def utc_day(at: Column) -> Column:
@@ -52,7 +54,7 @@ def day_runs(rows: DataFrame, salts: int | None = None) -> DataFrame:
     a group's share of one salt.
     """
     spark = rows.sparkSession
-    salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int")).repartition("salt")
     once = spread.groupBy("salt", "query_id").agg(F.max(F.struct("logged_at", "day", "intent", "value")).alias("r")).select("salt", "r.*")
     return once.groupBy("salt", "day", "intent").agg(F.sort_array(F.collect_list("value")).alias("vals"))
@@ -71,27 +73,25 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
     sizes = base.groupBy(*by).agg(F.sum(F.size("vals")).cast("bigint").alias("n"))
     shares = F.array(*(F.struct(F.lit(s).alias("stat"), F.lit(p).alias("part"), F.lit(q).alias("of")) for s, (p, q) in stats.items()))
     wanted = sizes.withColumn("s", F.explode(shares)).select(*by, "s.stat", "n", F.expr("(n * s.part + s.of - 1) div s.of").alias("k"), F.col("n").alias("left"))
-    state = cuts.cut(wanted)
-    rest = base.withColumn("stat", F.explode(F.array(*map(F.lit, stats))))
+    # every row of a table of the loop knows its group's size, wanted rank and number of values left
+    rest = cuts.cut(base.join(wanted, by).select(*key, "n", "k", "left", "vals"))
+    near: list[DataFrame] = [rest.where(F.col("left") <= finish)]
     found: list[DataFrame] = []
-    while True:
-        near = state.where(F.col("left") <= finish)
-        ended = rest.join(near.select(*key, "n", "k"), key).groupBy(*key, "n", "k").agg(F.sort_array(F.flatten(F.collect_list("vals"))).alias("vals"))
-        found.append(ended.select(*key, "n", F.expr("element_at(vals, cast(k as int))").alias("value")))
-        far = state.where(F.col("left") > finish)
-        if not far.limit(1).count():
-            break
-        proposed = rest.join(far.select(*key), key, "left_semi").select(*key, F.expr("element_at(vals, cast((size(vals) + 1) div 2 as int))").alias("median"), F.size("vals").cast("bigint").alias("weight"))
-        by_median = proposed.groupBy(*key, "median").agg(F.sum("weight").alias("weight"))
-        order = Window.partitionBy(*key).orderBy("median")
-        total = Window.partitionBy(*key)
-        pivots = by_median.select(*key, "median", F.sum("weight").over(order).alias("upto"), F.sum("weight").over(total).alias("all")).where("upto * 2 >= all").groupBy(*key).agg(F.min("median").alias("pivot"))
-        counts = rest.join(pivots, key).groupBy(*key, "pivot").agg(
+    while rest.where(F.col("left") > finish).limit(1).count():
+        far = rest.where(F.col("left") > finish)
+        proposed = far.select(*key, F.expr("element_at(vals, cast((size(vals) + 1) div 2 as int))").alias("median"), F.size("vals").cast("bigint").alias("weight"))
+        whole = Window.partitionBy(*key)
+        weighed = proposed.select(*key, "median", F.sum("weight").over(whole.orderBy("median")).alias("upto"), F.sum("weight").over(whole).alias("all"))
+        pivots = weighed.where("upto * 2 >= all").groupBy(*key).agg(F.min("median").alias("pivot"))
+        counts = far.join(pivots, key).groupBy(*key, "pivot").agg(
+            F.max("n").alias("n"),
+            F.max("k").alias("k"),
+            F.max("left").alias("left"),
             F.sum(F.expr("size(filter(vals, v -> v < pivot))")).cast("bigint").alias("below"),
             F.sum(F.expr("size(filter(vals, v -> v = pivot))")).cast("bigint").alias("same"),
         )
         decided = cuts.cut(
-            far.join(counts, key).select(
+            counts.select(
                 *key,
                 "n",
                 "pivot",
@@ -102,13 +102,12 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
         )
         found.append(decided.where("side = 0").select(*key, "n", F.col("pivot").alias("value")))
         open_ = decided.where("side <> 0")
-        kept = rest.join(open_.select(*key, "pivot", "side"), key).select(*key, F.expr("if(side < 0, filter(vals, v -> v < pivot), filter(vals, v -> v > pivot))").alias("vals"))
+        kept = far.select(*key, "vals").join(open_, key).select(*key, "n", "k", "left", F.expr("if(side < 0, filter(vals, v -> v < pivot), filter(vals, v -> v > pivot))").alias("vals"))
         rest = cuts.cut(kept.where(F.size("vals") > 0))
-        state = open_.select(*key, "n", "k", "left")
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        near.append(rest.where(F.col("left") <= finish))
+    ends = reduce(DataFrame.unionByName, near).groupBy(*key, "n", "k").agg(F.sort_array(F.flatten(F.collect_list("vals"))).alias("vals"))
+    found.append(ends.select(*key, "n", F.expr("element_at(vals, cast(k as int))").alias("value")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def digest(rows: DataFrame) -> DataFrame:
