@@ -18,6 +18,8 @@ from vellum.session import Cuts
 
 #: A group with no more values than this left is finished by sorting them.
 FINISH = 64
+#: Places over which a group's runs are spread in joins.
+SPREAD = 32
 
 
 def utc_day(at: Column) -> Column:
@@ -60,6 +62,12 @@ def day_runs(rows: DataFrame, salts: int | None = None) -> DataFrame:
     return once.groupBy("salt", "day", "intent").agg(F.sort_array(F.collect_list("value")).alias("vals"))
 
 
+def _spread_join(runs: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """Join runs with one row per group. A hot group's runs go to SPREAD places, its row to each of them."""
+    salted = runs.withColumn("_place", F.pmod(F.xxhash64("vals"), F.lit(SPREAD)).cast("int"))
+    return salted.join(groups.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [*key, "_place"]).drop("_place")
+
+
 def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int]], finish: int = FINISH) -> DataFrame:
     """The stats of each group: (*by, stat, n, value), value of nearest rank, ceil(n * share).
 
@@ -74,7 +82,7 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
     shares = F.array(*(F.struct(F.lit(s).alias("stat"), F.lit(p).alias("part"), F.lit(q).alias("of")) for s, (p, q) in stats.items()))
     wanted = sizes.withColumn("s", F.explode(shares)).select(*by, "s.stat", "n", F.expr("(n * s.part + s.of - 1) div s.of").alias("k"), F.col("n").alias("left"))
     # every row of a table of the loop knows its group's size, wanted rank and number of values left
-    rest = cuts.cut(base.join(wanted, by).select(*key, "n", "k", "left", "vals"))
+    rest = cuts.cut(_spread_join(base, wanted, by).select(*key, "n", "k", "left", "vals"))
     near: list[DataFrame] = [rest.where(F.col("left") <= finish)]
     found: list[DataFrame] = []
     while rest.where(F.col("left") > finish).limit(1).count():
@@ -83,7 +91,7 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
         whole = Window.partitionBy(*key)
         weighed = proposed.select(*key, "median", F.sum("weight").over(whole.orderBy("median")).alias("upto"), F.sum("weight").over(whole).alias("all"))
         pivots = weighed.where("upto * 2 >= all").groupBy(*key).agg(F.min("median").alias("pivot"))
-        counts = far.join(pivots, key).groupBy(*key, "pivot").agg(
+        counts = _spread_join(far, pivots, key).groupBy(*key, "pivot").agg(
             F.max("n").alias("n"),
             F.max("k").alias("k"),
             F.max("left").alias("left"),
@@ -102,7 +110,7 @@ def select_ranks(runs: DataFrame, by: list[str], stats: dict[str, tuple[int, int
         )
         found.append(decided.where("side = 0").select(*key, "n", F.col("pivot").alias("value")))
         open_ = decided.where("side <> 0")
-        kept = far.select(*key, "vals").join(open_, key).select(*key, "n", "k", "left", F.expr("if(side < 0, filter(vals, v -> v < pivot), filter(vals, v -> v > pivot))").alias("vals"))
+        kept = _spread_join(far.select(*key, "vals"), open_, key).select(*key, "n", "k", "left", F.expr("if(side < 0, filter(vals, v -> v < pivot), filter(vals, v -> v > pivot))").alias("vals"))
         rest = cuts.cut(kept.where(F.size("vals") > 0))
         near.append(rest.where(F.col("left") <= finish))
     ends = reduce(DataFrame.unionByName, near).groupBy(*key, "n", "k").agg(F.sort_array(F.flatten(F.collect_list("vals"))).alias("vals"))
