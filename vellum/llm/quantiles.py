@@ -56,7 +56,7 @@ def day_runs(rows: DataFrame, salts: int | None = None) -> DataFrame:
     a group's share of one salt.
     """
     spark = rows.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int")).repartition("salt")
     once = spread.groupBy("salt", "query_id").agg(F.max(F.struct("logged_at", "day", "intent", "value")).alias("r")).select("salt", "r.*")
     return once.groupBy("salt", "day", "intent").agg(F.sort_array(F.collect_list("value")).alias("vals"))
