@@ -132,3 +132,29 @@ def test_streams(spark, tmp_path):
         seconds[kind].append(i // 10 * 60 + i % 10 * 5)
     expected = sorted((k, sum(s - 60 <= t <= s for t in v)) for k, v in seconds.items() for s in v)
     assert sorted((r["event_type"], r["load"]) for r in loads) == expected
+
+
+def test_structure_expansion(spark):
+    from vellum.operators.structure import with_structure
+
+    line = "head\n" + "x" * 355  # 132 tokens
+    units = spark.createDataFrame(
+        [(1, 1, "Commitment 1", "C1", 1, line), (2, 1, "m", "C1/M1", 2, line), (3, 1, "m", "C1/M2", 3, line), (4, 1, "m", "C1/M2/S1", 4, line), (5, 1, "x", "C1X", 5, line), (6, 1, "z", "Z", 6, line), (7, 1, "z", "Z/Y", 7, "short")],
+        "unit_id long, document_version_id long, unit_number string, unit_path string, ordinal int, text string",
+    )
+    evidence = spark.createDataFrame([("q", 3, "code", 1), ("q", 2, "code", 2), ("q", 6, "code", 3), ("q", 5, "law", 4)], "q string, unit_id long, authority string, place int")
+    got = sorted((r["anchor"], r["unit_id"], r["full"]) for r in with_structure(evidence, units, "q", 140).collect())
+    assert got == [(1, 1, 1), (1, 4, 0), (6, 7, 0)]  # 132, then an outline of 33, nothing is left for 33 more
+    assert sorted(r["full"] for r in with_structure(evidence, units, "q", 400).collect()) == [1, 1, 1]
+    assert with_structure(evidence.limit(0), units, "q", 400).count() == 0
+
+
+def test_shortening(spark):
+    from vellum.functions.text import fit_lines, retry_seconds, shorten
+
+    df = spark.createDataFrame([("a" * 36 + "\n" + "b" * 36 + "\n" + "c" * 36,), ("x" * 400,), ("short",), (None,)], "t string")
+    got = [r[0] for r in df.select(fit_lines(F.col("t"), 53)).collect()]
+    assert got == ["a" * 36 + "\n" + "b" * 36, "x" * 400, "short", None]
+    assert [r[0] for r in df.select(shorten(F.col("t"), 10)).collect()] == ["aaaaaaa...", "xxxxxxx...", "short", None]
+    waits = spark.createDataFrame([("please retry in 2.5s",), ('"retryDelay": "0.2s"',), ("no",), (None,)], "m string")
+    assert [r[0] for r in waits.select(retry_seconds(F.col("m"))).collect()] == [2.5, 1.0, 20.0, 20.0]

@@ -154,3 +154,26 @@ def citation_label(unit_type: Column, number: Column, path: Column, authority: C
     named = F.initcap(F.when(unit_type.isin("article", "annex", "recital", "chapter", "section", "paragraph"), unit_type))
     number = F.nullif(number, F.lit(""))
     return F.when(authority != "law", F.concat_ws(" ", title, number)).otherwise(F.coalesce(F.concat(named, F.lit(" "), number), path))
+
+
+def shorten(text: Column, n: int) -> Column:
+    """White space collapsed, and cut to n characters with a final `...` where longer."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 3)), F.lit("...")))
+
+
+def fit_lines(text: Column, budget: int) -> Column:
+    """A text whose estimate is above the budget keeps its first lines: four fifths of them, again and
+    again, until it fits. A text whose first line alone is too large stays as it is."""
+    joined = lambda lines: F.array_join(lines, "\n")
+    fits = lambda lines: estimate_tokens(joined(lines)) <= budget
+    fewer = lambda lines: F.slice(lines, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(lines) * F.lit(0.8)).cast("int")))
+    steps = F.sequence(F.lit(1), F.lit(128))  # enough for any text that a row can hold
+    cut = F.aggregate(steps, F.split(text, "\n"), lambda lines, _: F.when((F.size(lines) <= 1) | fits(lines), lines).otherwise(fewer(lines)))
+    return F.when(fits(cut), joined(cut)).otherwise(text)
+
+
+def retry_seconds(message: Column, default: float = 20.0) -> Column:
+    """Seconds that an error message asks to wait, 1 at least; the default where it names none."""
+    stated = F.nullif(F.regexp_extract(message, r"(?:retry in |retryDelay['\"]:\s*['\"])(\d+(?:\.\d+)?)s", 1), F.lit(""))
+    return F.greatest(F.lit(1.0), F.coalesce(stated.cast("double"), F.lit(default)))

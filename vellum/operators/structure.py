@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.arrow import whole_groups
+from vellum.functions.text import estimate_tokens
 
 
 def path_prefixes(path: Column) -> Column:
@@ -141,3 +142,48 @@ def greedy_chunks(pieces: DataFrame, by: str, order: str, cost: str, target: int
         return out
 
     return per_document(pieces, by, order, cost, run, "chunk_no")
+
+
+#: Fixed value: numbers of the units of a code around which its structure is read.
+ANCHOR = r"(^| )Commitment [0-9]+$"
+
+
+def with_structure(evidence: DataFrame, units: DataFrame, by: str, budget: int) -> DataFrame:
+    """(by, anchor, unit_id, position, full): what is read around code units in the evidence.
+
+    `evidence`: by, unit_id, authority, place; `units`: unit_id, document_version_id, unit_number,
+    unit_path, ordinal, text. A code unit's anchor is the commitment above it, or the unit itself.
+    Of the anchor's whole subtree, in document order, units that are no evidence yet are read in
+    full while the budget lasts; the others (full = 0) give only their first line, and the outline
+    of these lines counts against what is left for the next anchor. A unit belongs to the first
+    anchor that reaches it.
+    """
+    pairs = ancestor_pairs(units, "document_version_id", "unit_id", "unit_path").select("unit_id", "ancestor", F.length("ancestor_path").alias("depth"))
+    commitments = units.where(F.col("unit_number").rlike(ANCHOR)).select(F.col("unit_id").alias("ancestor"))
+    above = pairs.join(commitments, "ancestor", "left_semi").groupBy("unit_id").agg(F.min(F.struct("depth", "ancestor")).alias("a"))
+    code = evidence.where("authority = 'code'").select(by, "unit_id", "place").join(above, "unit_id", "left")
+    anchors = code.groupBy(by, F.coalesce("a.ancestor", "unit_id").alias("anchor")).agg(F.min("place").alias("anchor_no"))
+    below = pairs.select(F.col("ancestor").alias("anchor"), "unit_id").unionByName(units.select(F.col("unit_id").alias("anchor"), "unit_id"))
+    reached = anchors.join(below, "anchor").join(evidence.select(by, "unit_id"), [by, "unit_id"], "left_anti")
+    first = reached.groupBy(by, "unit_id").agg(F.min(F.struct("anchor_no", "anchor")).alias("a")).select(by, "unit_id", "a.*")
+    line = F.substring_index("text", "\n", 1)
+    priced = first.join(units.select("unit_id", "ordinal", estimate_tokens(F.col("text")).alias("cost"), F.length(line).alias("line")), "unit_id")
+    rows = priced.select(by, F.struct("anchor_no", "ordinal", "unit_id").alias("position"), F.struct("anchor_no", "anchor", "unit_id", "cost", "line").alias("row"))
+
+    def fold(steps: list[dict]) -> list[int]:
+        spent, out, unread, anchor = 0, [], [], None
+        for s in steps:
+            if s["anchor_no"] != anchor:
+                if unread:
+                    spent += int((sum(unread) + len(unread) - 1) / 3.6) + 32
+                unread, anchor = [], s["anchor_no"]
+            full = spent + s["cost"] <= budget
+            out.append(full)
+            if full:
+                spent += s["cost"]
+            else:
+                unread.append(s["line"])
+        return out
+
+    done = per_document(rows, by, "position", "row", fold, "full")
+    return done.select(by, F.col("row.anchor").alias("anchor"), F.col("row.unit_id").alias("unit_id"), F.col("position.ordinal").alias("ordinal"), "full")

@@ -66,6 +66,18 @@ def answer_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return A.gather_evidence(hits, units).select("query_id", "unit_id", "authority", "place", "label", "cost", "spent")
 
 
+def structure_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read around the code units of each question's evidence."""
+    return S.with_structure(answer_evidence(spark, folder).select("query_id", "unit_id", "authority", "place"), _units(spark, folder), "query_id", 2_400)
+
+
+def fitted_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut by lines to 300 tokens."""
+    from vellum.functions.text import fit_lines
+
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.length(fit_lines(F.col("text"), 300)).alias("n"))
+
+
 def usage_by_model(spark: SparkSession, folder: str) -> DataFrame:
     log = table(spark, folder, "query_log").dropDuplicates(["query_id"]).where("model is not null")
     usage = log.select(F.get("document_version_ids", F.lit(0)).alias("question_id"), "model", F.col("quotes_total").alias("input"), F.col("quotes_dropped").alias("output"), F.lit(1).alias("calls"))
@@ -91,4 +103,4 @@ n AS (SELECT p.unit_id, string_agg(upper(a.unit_type[1]) || a.unit_type[2:] || '
   max(struct_pack(d := depth, h := nullif(trim(a.heading), ''))) FILTER (nullif(trim(a.heading), '') IS NOT NULL) AS h FROM p JOIN u a ON a.unit_id = p.ancestor GROUP BY 1)
 SELECT u.unit_id, concat_ws(' - ', s.title, coalesce(nullif(trim(u.context), ''), labels), h.h) AS breadcrumb FROM u JOIN n USING (unit_id) LEFT JOIN document_version v USING (document_version_id) LEFT JOIN legal_source s USING (source_id)""",
 }
-QUERIES = {f.__name__: f for f in (clean_lines, heading_units, breadcrumb, unit_selection, unit_chunks, ingest_plan, pending_versions, healthz, answer_evidence, usage_by_model)}
+QUERIES = {f.__name__: f for f in (clean_lines, heading_units, breadcrumb, unit_selection, unit_chunks, ingest_plan, pending_versions, healthz, answer_evidence, structure_expansion, fitted_texts, usage_by_model)}
