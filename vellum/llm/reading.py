@@ -144,8 +144,10 @@ def features(documents: DataFrame, lists: dict[str, dict[str, float]]) -> DataFr
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Coefficients (constant first) of a ridge logistic regression by Newton steps, and its loss."""
-    z = np.column_stack([np.ones(len(x)), x])
+    """Coefficients (constant first) of a ridge logistic regression on standardized columns, by Newton
+    steps, turned back to the columns as given; and its loss."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
     w, keep = np.zeros(z.shape[1]), ridge * len(z) * np.diag([0.0] + [1.0] * x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -154,37 +156,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
         if np.abs(step).max() < 1e-8:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    slopes = w[1:] / spread
+    return np.concatenate([[w[0] - slopes @ mean], slopes]), loss
 
 
 def fit(rows: list[tuple[list[float], float, float]]) -> list[tuple[int, np.ndarray]]:
-    """For levels 2, 3 and 4: (index into SHARES, coefficients of 1, 10 * unfamiliar share, log of
-    sentence length) of the odds that a text is at that level or above.
+    """For levels 2, 3 and 4: (index into SHARES, coefficients) of the odds that a text is at that
+    level or above. The terms are 1, u, s, u * s and u * u; u is the unfamiliar share, s the log of
+    1 + sentence length.
 
     `rows`: unfamiliar shares, sentence length, mean label. Without rows, or where the labels have
     only one side of a level, the odds are those of the labels alone (never, without rows)."""
     models = []
     levels = np.array([r[2] for r in rows])
     shares = np.array([r[0] for r in rows]).reshape(len(rows), len(SHARES))
-    lengths = np.log1p(np.array([r[1] for r in rows]))
+    s = np.log1p(np.array([r[1] for r in rows]))
     for level in (2, 3, 4):
         y = (levels >= level - 0.5).astype(float)
         if not len(y) or y.min() == y.max():
-            models.append((0, np.array([5.0 if len(y) and y.min() == 1 else -5.0, 0.0, 0.0])))
+            models.append((0, np.array([5.0 if len(y) and y.min() == 1 else -5.0, 0.0, 0.0, 0.0, 0.0])))
             continue
-        fits = [(*_logistic(np.column_stack([10 * shares[:, i], lengths]), y), i) for i in range(len(SHARES))]
+        fits = [(*_logistic(np.column_stack([u, s, u * s, u * u]), y), i) for i, u in enumerate(shares.T)]
         w, _, i = min(fits, key=lambda f: f[1])
         models.append((i, w))
     return models
 
 
 def level(models: list[tuple[int, np.ndarray]]) -> Column:
-    """1 to 4 by the fitted odds; null for texts below LEAST_WORDS words."""
-    passed = F.lit(1)
-    for i, w in models:
-        odds = F.lit(float(w[0])) + F.lit(float(10 * w[1])) * F.col("unfamiliar")[i] + F.lit(float(w[2])) * F.log1p("sentence")
-        passed = passed + F.when(odds >= 0, 1).otherwise(0)
-    return F.when(F.col("n_words") >= LEAST_WORDS, passed)
+    """The highest of levels 2 to 4 whose odds are even or better, else 1; null for texts below LEAST_WORDS words."""
+    found = F.lit(1)
+    for at, (i, w) in enumerate(models, 2):
+        u, s = F.col("unfamiliar")[i], F.log1p("sentence")
+        terms = (F.lit(1.0), u, s, u * s, u * u)
+        odds = sum((F.lit(float(c)) * t for c, t in zip(w[1:], terms[1:])), F.lit(float(w[0])))
+        found = F.when(odds >= 0, at).otherwise(found)
+    return F.when(F.col("n_words") >= LEAST_WORDS, found)
 
 
 def reading_levels(found: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
