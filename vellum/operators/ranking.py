@@ -23,13 +23,15 @@ def tier(authority: Column) -> Column:
 def fuse(hits: DataFrame, by: list[str], item: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Reciprocal rank fusion: (*by, item, score, first_leg, first_rank, legs, place).
 
-    `hits`: the columns by, item, leg, leg_rank. An item's rank in a leg is its best one. Equal
-    scores keep the order of first appearance: leg, rank, then item. Null legs or ranks are no hit.
+    `hits`: the columns by, item, leg, leg_rank. An item's rank in a leg is its best one, so that
+    repeated rows change nothing. Equal scores keep the order of first appearance: leg, rank, then
+    item. Null legs or ranks are no hit. One shuffle by item serves both sums; pools meet last.
     """
     weight = F.lit(1.0)
     for leg, w in (weights or {}).items():
         weight = F.when(F.col("leg") == leg, F.lit(w)).otherwise(weight)
-    best = hits.where("leg is not null and leg_rank is not null").groupBy(*by, item, "leg").agg(F.min("leg_rank").alias("leg_rank"))
+    together = hits.where("leg is not null and leg_rank is not null").select(*by, item, "leg", "leg_rank").repartition(*by, item)
+    best = together.groupBy(*by, item, "leg").agg(F.min("leg_rank").alias("leg_rank"))
     scored = best.groupBy(*by, item).agg(
         F.sum(weight / (RRF_K + F.col("leg_rank"))).alias("score"),
         F.min(F.struct("leg", "leg_rank")).alias("first"),

@@ -31,7 +31,7 @@ def active_units(units: DataFrame, versions: DataFrame, sources: DataFrame, keys
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows nearest to one query by cosine distance of unit vectors; ties by key. Null vectors are left out."""
-    literal = F.array(*(F.lit(float(x)) for x in query))
+    literal = F.array(*(F.lit(float(x)) for x in query)).cast("array<double>")
     dot = F.aggregate(F.zip_with(F.col(vector), literal, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     return vectors.where(F.col(vector).isNotNull()).select(key, (F.lit(1.0) - dot).alias("distance")).orderBy("distance", key).limit(k)
 

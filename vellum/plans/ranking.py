@@ -29,12 +29,12 @@ def _pools(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    fused = R.fuse(_hits(spark, folder), ["query_id"], "chunk_id", {"structural": 2.0})
+    fused = R.fuse(table(spark, folder, "candidate"), ["query_id"], "chunk_id", {"structural": 2.0})
     return fused.withColumn("score", F.round("score", 9))
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
-    fused = R.fuse(_hits(spark, folder), ["document_version_id"], "chunk_id", {"structural": 2.0})
+    fused = R.fuse(table(spark, folder, "candidate"), ["document_version_id"], "chunk_id", {"structural": 2.0})
     return fused.where(F.col("place") <= POOL).select("document_version_id", "chunk_id", F.round("score", 9).alias("score"), "place")
 
 

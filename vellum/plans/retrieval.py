@@ -34,8 +34,9 @@ def source_filtered_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    query = vectors.where("vec_id = 0").first()["embedding"]
-    return R.nearest(vectors, list(query), 20).withColumn("distance", F.round("distance", 6))
+    row = vectors.where("vec_id = 0").first()
+    query = list(row["embedding"] or []) if row else []  # without the query vector, nothing is near
+    return R.nearest(vectors if query else vectors.limit(0), query, 20).withColumn("distance", F.round("distance", 6))
 
 
 def dense_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
