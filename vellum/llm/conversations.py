@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.arrow import whole_groups
+from vellum.functions.text import micros
 from vellum.operators.hierarchy import components
 from vellum.session import Cuts
 
@@ -50,13 +51,6 @@ def role(step_type: Column) -> Column:
     return F.coalesce(F.try_element_at(named, letters), letters)
 
 
-def micros(created_at: Column) -> Column:
-    """ISO text in any of its forms as UTC microseconds; without a zone it is UTC; unreadable is null."""
-    stamp = F.trim(created_at)
-    zoned = F.when(stamp.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$") & stamp.rlike(r"\d:\d"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
-    return F.unix_micros(zoned.try_cast("timestamp"))
-
-
 def prepared(steps: DataFrame) -> DataFrame:
     """The columns that `rebuild` reads. Rows without a thread or step id are left out."""
     return steps.where(F.col("thread_id").isNotNull() & F.col("step_id").isNotNull()).select(

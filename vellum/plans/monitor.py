@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+from vellum.functions.text import micros
 from vellum.operators import evaluate as E
 from vellum.operators import monitor as M
 from vellum.operators import ranking as R
@@ -72,9 +73,9 @@ def sliding_window_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_last_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """The last three steps of each thread by stated time, then id."""
-    steps = table(spark, folder, "chat_steps").where("created_at is not null").select("thread_id", "step_id", "created_at").distinct()
-    return R.top(steps, ["thread_id"], [F.desc("created_at"), F.desc("step_id")], 3).select("thread_id", "step_id", "place")
+    """The last three steps of each thread by instant, then id; steps without a readable time come last."""
+    steps = table(spark, folder, "chat_steps").groupBy("thread_id", "step_id").agg(F.max(micros(F.col("created_at"))).alias("at"))
+    return R.top(steps, ["thread_id"], [F.desc_nulls_last("at"), F.desc("step_id")], 3).select("thread_id", "step_id", "place")
 
 
 def verify_quotes(spark: SparkSession, folder: str) -> DataFrame:
