@@ -57,3 +57,23 @@ def test_empty_and_times(spark):
     at = {r["step_id"]: r["at"] for r in prepared(df).collect()}
     want = int(dt.datetime(2000, 1, 22, 19, 53, 33, tzinfo=dt.timezone.utc).timestamp() * 1e6)
     assert [at[str(i)] for i in range(6)] == [want] * 4 + [None] * 2
+
+
+def link_rows():
+    """A true parent 61 steps back, 60 blank steps in a row, and a second root."""
+    far = [("a", None, U, "zebra quagga okapi tapir")] + [(f"m{i:02d}", "a", A, f"filler {i}") for i in range(60)] + [("z", "gone", A, "zebra quagga okapi tapir")]
+    blanks = [("a", None, U, "question")] + [(f"b{i:02d}", "a", "tool", " ") for i in range(60)] + [("z", "gone", A, "x")]
+    roots = [("a", None, U, "zebra quagga"), ("b", "a", A, "okapi tapir"), ("c", None, U, "zebra quagga")]
+    return [*rows("far", *far), *rows("blanks", *blanks), *rows("roots", *roots)]
+
+
+def stamped(data):
+    """The rows a second apart, however many there are."""
+    start = dt.datetime(2000, 1, 1)
+    return [(*r[:8], (start + dt.timedelta(seconds=i)).isoformat(), *r[9:]) for i, r in enumerate(data)]
+
+
+def test_all_earlier_steps_are_candidates(spark):
+    found = rebuild(prepared(spark.createDataFrame(stamped(link_rows()), ROWS)), messages=True).where("inferred or surplus").collect()
+    assert {(r["thread_id"], r["step_id"]): r["likely"] for r in found} == {("far", "z"): "a", ("blanks", "z"): "a", ("roots", "c"): "a"}
+    assert {r["thread_id"]: r["parent_id"] for r in found} == {"far": "a", "blanks": "a", "roots": None}

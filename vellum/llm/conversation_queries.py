@@ -26,9 +26,9 @@ def p4_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
-    """The likeliest parent of each step whose stated parent is missing, with its score."""
+    """The likeliest parent of each step whose stated parent is missing and of each surplus root, with its score."""
     steps = rebuild(prepared(table(spark, folder, "chat_steps")), messages=True)
-    return steps.where("inferred").select("thread_id", "step_id", "parent_id", "score")
+    return steps.where("inferred or surplus").select("thread_id", "step_id", F.col("likely").alias("parent_id"), "score")
 
 
 SQL = {

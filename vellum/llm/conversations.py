@@ -8,10 +8,11 @@ tree; inferred links show where its pieces most likely belong.
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,6 @@ from vellum.functions.text import micros
 from vellum.operators.hierarchy import components
 from vellum.session import Cuts
 
-#: Candidate parents of a step whose stated parent is missing: so many messages before it in time.
-WINDOW = 50
 #: Seconds in which the time score falls to 1/e.
 FADE = 120.0
 #: Weights of a stated link, time, mention and lexical overlap; the stated one outweighs the rest.
@@ -30,7 +29,7 @@ STATED, TIME, MENTION, OVERLAP = 10.0, 1.0, 2.0, 1.5
 _WORD = re.compile(r"\w{3,}")
 _ROLES = {"usermessage": "user", "assistantmessage": "assistant", "systemmessage": "system", "tool": "tool", "run": "run"}
 
-STEPS = "thread_id string, step_id string, parent_id string, inferred boolean, score double, position int, depth int, role string, text string, reason string"
+STEPS = "thread_id string, step_id string, parent_id string, inferred boolean, score double, position int, depth int, role string, text string, surplus boolean, likely string, reason string"
 THREADS = "thread_id string, reason string"
 _TYPES = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
 
@@ -67,23 +66,59 @@ def prepared(steps: DataFrame) -> DataFrame:
     )
 
 
-def _score(child: dict, parent: dict, words: dict[str, set]) -> float:
-    score = 0.0
-    if child["at"] is not None and parent["at"] is not None:
-        score += TIME * math.exp(-abs(child["at"] - parent["at"]) / 1e6 / FADE)
-    text = child["text"] or ""
-    if parent["name"] and parent["name"] in text:
-        score += MENTION
-    a, b = words[child["step_id"]], words[parent["step_id"]]
-    if a and b:
-        score += OVERLAP * len(a & b) / len(a | b)
-    return score
+def _time_key(r: dict) -> tuple:
+    return r["at"] is None, r["at"] or 0, r["step_id"]
+
+
+class _Candidates:
+    """Non-blank steps as candidate parents; one pass over an inverted index scores all earlier ones."""
+
+    def __init__(self, steps: list[dict]):
+        self.steps = sorted((s for s in steps if not s["blank"]), key=_time_key)
+        self.keys = [_time_key(s) for s in self.steps]
+        self.at = np.array([s["at"] or 0 for s in self.steps], np.int64)
+        postings: dict[str, list[int]] = {}
+        named: dict[str, list[int]] = {}
+        sizes = []
+        for i, s in enumerate(self.steps):
+            words = set(_WORD.findall((s["text"] or "").lower()))
+            sizes.append(len(words))
+            for w in words:
+                postings.setdefault(w, []).append(i)
+            if s["name"]:
+                named.setdefault(s["name"], []).append(i)
+        self.sizes = np.array(sizes, np.int64)
+        self.postings = {w: np.array(at, np.int64) for w, at in postings.items()}
+        self.named = {name: np.array(at, np.int64) for name, at in named.items()}
+
+    def best(self, child: dict) -> tuple[float, dict] | None:
+        """(score, step) of the likeliest step before the child in time; of equal ones the latest."""
+        n = bisect_left(self.keys, _time_key(child))
+        if not n:
+            return None
+        score = np.zeros(n)
+        if child["at"] is not None:  # then all earlier steps have a time too
+            score += TIME * np.exp(-np.abs(child["at"] - self.at[:n]) / 1e6 / FADE)
+        text = child["text"] or ""
+        for name, at in self.named.items():
+            if name in text:
+                score[at[: np.searchsorted(at, n)]] += MENTION
+        words = set(_WORD.findall(text.lower()))
+        hits = [self.postings[w] for w in words if w in self.postings]
+        if hits:
+            shared = np.bincount(np.concatenate(hits), minlength=n)[:n]
+            score += OVERLAP * (shared / (len(words) + self.sizes[:n] - shared))
+        at = n - 1 - int(np.argmax(score[::-1]))
+        return float(score[at]), self.steps[at]
 
 
 def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     """(reason, steps in order) of one thread; reason is null for a conversation to keep.
 
     Of rows with one step_id the first finished one stands (an unfinished one if there is no other).
+    A step whose stated parent is missing hangs from the likeliest of all earlier non-blank steps
+    (`inferred`). Of several steps without parent all but the earliest are `surplus`: they stay roots,
+    and `likely` names their likeliest parent.
     Order: depth-first from the root, siblings by time, then id; what hangs from no root comes last.
     """
     steps: dict[str, dict] = {}
@@ -92,24 +127,27 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     by_time = sorted(steps.values(), key=lambda r: (r["at"] is None, r["at"] or 0, r["step_id"]))
     starts = sum(r["parent_id"] is None for r in steps.values())
     broken = starts != 1
-    words: dict[str, set] = {}
-    chosen: dict[str, tuple[str | None, bool, float | None]] = {}
-    for at, r in enumerate(by_time):
+    candidates: _Candidates | None = None
+    chosen: dict[str, str | None] = {}
+    rooted = False
+    for r in by_time:
         stated = r["parent_id"]
-        if stated is None:
-            chosen[r["step_id"]] = (None, False, None)
-        elif stated in steps:
-            chosen[r["step_id"]] = (stated, False, STATED)
+        r |= {"inferred": False, "surplus": False, "likely": None, "score": None}
+        if stated in steps:
+            r["score"] = STATED
+        elif stated is None and not rooted:
+            rooted = True
         else:
             broken = True
-            if not words:
-                words = {k: set(_WORD.findall((s["text"] or "").lower())) for k, s in steps.items()}
-            candidates = [c for c in by_time[max(0, at - WINDOW) : at] if not c["blank"]]
-            best = max(((_score(r, c, words), i, c["step_id"]) for i, c in enumerate(candidates)), default=None)
-            chosen[r["step_id"]] = (best[2], True, best[0]) if best else (None, True, None)
+            candidates = candidates or _Candidates(by_time)
+            if best := candidates.best(r):
+                r["score"], r["likely"] = best[0], best[1]["step_id"]
+            r["inferred"], r["surplus"] = stated is not None, stated is None
+            stated = r["likely"] if r["inferred"] else None
+        chosen[r["step_id"]] = stated
     children: dict[str | None, list[dict]] = {}
     for r in by_time:
-        children.setdefault(chosen[r["step_id"]][0], []).append(r)
+        children.setdefault(chosen[r["step_id"]], []).append(r)
     ordered: list[dict] = []
     seen: set[str] = set()
     answered: set[str] = set()
@@ -119,8 +157,7 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
         r, depth, question = stack.pop()
         key = r["step_id"]
         seen.add(key)
-        parent, inferred, score = chosen[key]
-        ordered.append({**r, "parent_id": parent, "inferred": inferred, "score": score, "depth": depth})
+        ordered.append({**r, "parent_id": chosen[key], "depth": depth})
         if r["role"] == "user" and not r["blank"]:
             asked.add(key)
             question = key
@@ -131,8 +168,7 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
         broken = True
         for r in by_time:
             if r["step_id"] not in seen:
-                parent, inferred, score = chosen[r["step_id"]]
-                ordered.append({**r, "parent_id": parent, "inferred": inferred, "score": score, "depth": None})
+                ordered.append({**r, "parent_id": chosen[r["step_id"]], "depth": None})
     for position, r in enumerate(ordered):
         r["position"] = position
     if broken:
@@ -211,6 +247,8 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts) -> DataFrame:
         depth.alias("depth"),
         "role",
         "text",
+        F.lit(False).alias("surplus"),
+        F.lit(None).cast("string").alias("likely"),
         "reason",
     )
 
