@@ -1,7 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from vellum.llm import conversations
 from vellum.llm.conversations import prepared, rebuild
 
 ROWS = "thread_id string, step_id string, parent_id string, step_type string, step_name string, is_streaming boolean, is_error boolean, output_text string, created_at string, role int, at string"
@@ -77,3 +80,29 @@ def test_all_earlier_steps_are_candidates(spark):
     found = rebuild(prepared(spark.createDataFrame(stamped(link_rows()), ROWS)), messages=True).where("inferred or surplus").collect()
     assert {(r["thread_id"], r["step_id"]): r["likely"] for r in found} == {("far", "z"): "a", ("blanks", "z"): "a", ("roots", "c"): "a"}
     assert {r["thread_id"]: r["parent_id"] for r in found} == {"far": "a", "blanks": "a", "roots": None}
+
+
+def branching(seed):
+    """A thread with side branches, missing parents, surplus roots, loops, blank steps, clock errors and several saves."""
+    rng = random.Random(seed)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    out = []
+    for i in range(120):
+        r = rng.random()
+        parent = None if not i or r < 0.03 else "gone" if r < 0.2 else f"s{rng.randrange(120):03d}" if r < 0.25 else f"s{rng.randrange(max(0, i - 6), i):03d}"
+        text = None if rng.random() < 0.1 else " ".join(rng.choices(words, k=rng.randint(0, 5)))
+        at = None if rng.random() < 0.05 else f"2000-01-01T00:{rng.randrange(max(0, i // 4 - 1), i // 4 + 2):02d}:00Z"
+        for _ in range(rng.choice((1, 1, 2))):
+            out.append((f"t{seed}", f"s{i:03d}", parent if rng.random() < 0.9 else "s001", rng.choice((U, A, "tool")), rng.choice((*words, None)), rng.random() < 0.2, None, text, at, 1, "clash"))
+    return out
+
+
+@pytest.mark.parametrize("block", [20_000, 13])
+def test_large_threads_have_the_same_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(conversations._by_doubling, "__defaults__", (block,))
+    tree = [("q", None, U, "q"), ("l", "q", A, "x"), ("r", "q", A, "y"), ("ll", "l", U, "q2"), ("rr", "r", "tool", ""), ("lll", "ll", A, "z")]
+    steps = prepared(spark.createDataFrame([*DATA, *branching(1), *branching(2), *stamped(link_rows()), *rows("tree", *tree)], ROWS))
+    small, large = ([tuple(r) for r in rebuild(steps, messages=True, max_thread=n).withColumn("score", F.round("score", 9)).collect()] for n in (50_000, 0))
+    assert sorted(map(repr, small)) == sorted(map(repr, large))
+    order = [r[1] for r in sorted((r for r in large if r[0] == "tree"), key=lambda r: r[5])]
+    assert order == ["q", "l", "ll", "lll", "r", "rr"]

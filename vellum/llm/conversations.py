@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.arrow import whole_groups
@@ -66,6 +66,18 @@ def prepared(steps: DataFrame) -> DataFrame:
     )
 
 
+def _standing(r: dict) -> tuple:
+    """Order of the rows of one step; the first stands. `_standing_column` is the same."""
+    return r["is_streaming"], r["at"] is None, r["at"] or 0, r["parent_id"] or "", r["parent_id"] is None, r["text"] or "", r["text"] is None, r["is_error"], r["role"], r["name"] or "", r["name"] is None
+
+
+def _standing_column() -> Column:
+    parts = ["is_streaming", F.col("at").isNull(), F.coalesce("at", F.lit(0))]
+    parts += [p for c in ("parent_id", "text") for p in (F.coalesce(c, F.lit("")), F.col(c).isNull())]
+    parts += ["is_error", "role", F.coalesce("name", F.lit("")), F.col("name").isNull()]
+    return F.struct(*(F.col(p) if isinstance(p, str) else p for p in parts))
+
+
 def _time_key(r: dict) -> tuple:
     return r["at"] is None, r["at"] or 0, r["step_id"]
 
@@ -122,7 +134,7 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     Order: depth-first from the root, siblings by time, then id; what hangs from no root comes last.
     """
     steps: dict[str, dict] = {}
-    for r in sorted(rows, key=lambda r: (r["is_streaming"], r["at"] is None, r["at"] or 0, str(r["parent_id"]), r["text"] or "")):
+    for r in sorted(rows, key=_standing):
         steps.setdefault(r["step_id"], r)
     by_time = sorted(steps.values(), key=lambda r: (r["at"] is None, r["at"] or 0, r["step_id"]))
     starts = sum(r["parent_id"] is None for r in steps.values())
@@ -206,13 +218,95 @@ def _in_one_task(steps: DataFrame, messages: bool) -> DataFrame:
     return together.mapInArrow(lambda batches: _rebuild(batches, messages), STEPS if messages else THREADS)
 
 
-def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts) -> DataFrame:
-    """The same for threads too large for one task. Links are as stated, none is inferred; position
-    is the depth, so that side branches share positions."""
+def _likeliest(children: DataFrame, parents: DataFrame, cuts: Cuts, block: int) -> DataFrame:
+    """(thread_id, step_id, score, likely) for the children: `_Candidates.best` over blocks of their threads.
+
+    Parents and children of a thread are spread by hash over blocks of about `block` steps; each pair
+    of blocks is scored in one task, and the best of a child's blocks stands.
+    """
+    columns = ["step_id", "name", "text", "blank", "at"]
+    parents = parents.where(~F.col("blank"))
+    sizes = children.groupBy("thread_id").agg(F.count("*").alias("nc")).join(parents.groupBy("thread_id").agg(F.count("*").alias("np")), "thread_id")
+    sizes = sizes.select("thread_id", *(F.ceil(F.col(n) / block).cast("int").alias(n) for n in ("nc", "np")))
+
+    def side(rows: DataFrame, child: bool) -> DataFrame:
+        own, other = ("nc", "np") if child else ("np", "nc")
+        at = F.pmod(F.xxhash64("step_id"), F.col(own)).cast("int").alias("own")
+        spread = rows.join(sizes, "thread_id").select("thread_id", *columns, at, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+        blocks = ("own", "other") if child else ("other", "own")
+        return spread.select("thread_id", F.col(blocks[0]).alias("c"), F.col(blocks[1]).alias("p"), F.lit(child).alias("child"), *columns)
+
+    ddl = "thread_id string, step_id string, score double, at_null boolean, at bigint, likely string"
+    schema = pa.schema([("thread_id", pa.string()), ("step_id", pa.string()), ("score", pa.float64()), ("at_null", pa.bool_()), ("at", pa.int64()), ("likely", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, ["thread_id", "c", "p"], block):
+            groups: dict[tuple, list[dict]] = {}
+            for r in chunk.to_pylist():
+                groups.setdefault((r["thread_id"], r["c"], r["p"]), []).append(r)
+            out = []
+            for (thread, _, _), rows in groups.items():
+                known = _Candidates([r for r in rows if not r["child"]])
+                for r in rows:
+                    if r["child"] and (best := known.best(r)):
+                        out.append((thread, r["step_id"], best[0], *_time_key(best[1])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    keys = ["thread_id", "c", "p"]
+    together = side(children, True).unionByName(side(parents, False)).repartition(*keys).sortWithinPartitions(*keys)
+    best = F.max(F.struct("score", "at_null", "at", "likely")).alias("b")
+    return cuts.cut(together.mapInArrow(run, ddl).groupBy("thread_id", "step_id").agg(best).select("thread_id", "step_id", "b.score", "b.likely"))
+
+
+def _places(own: DataFrame, cuts: Cuts) -> DataFrame:
+    """(thread_id, step_id, depth, position) of large threads, as rebuild_thread walks them.
+
+    `own`: thread_id, step_id, parent (the chosen one), at. Subtree sizes by doubling; a step's place
+    is its parent's, one more, and the sizes of its earlier siblings, summed up the tree by doubling.
+    What hangs from cycles comes last, by time.
+    """
+    placed = components(own.select(F.col("thread_id").alias("space"), F.col("step_id").alias("node"), "parent"), cuts)
+    placed = placed.select(F.col("space").alias("thread_id"), F.col("node").alias("step_id"), "top", "hops")
+    state = cuts.cut(own.join(placed, ["thread_id", "step_id"]))
+    trees = state.where("top").select("thread_id", "step_id", "parent", "at", F.col("hops").cast("int").alias("depth"))
+
+    def doubled(start: DataFrame, down: bool) -> DataFrame:
+        """Sums of n over all descendants (down) or ancestors, the step itself included."""
+        known = cuts.cut(start)
+        while known.where("jump is not null").limit(1).count():
+            to = known.select(F.col("thread_id").alias("t"), F.col("step_id").alias("s"), F.col("jump").alias("j"), F.col("n").alias("m"))
+            step = known.join(to, (F.col("thread_id") == F.col("t")) & (F.col("jump") == F.col("s")), "left")
+            if down:
+                more = known.where("jump is not null").groupBy(F.col("thread_id").alias("t2"), F.col("jump").alias("s2")).agg(F.sum("n").alias("m2"))
+                step = step.join(more, (F.col("thread_id") == F.col("t2")) & (F.col("step_id") == F.col("s2")), "left")
+            step = step.select("thread_id", "step_id", F.col("j").alias("jump"), (F.col("n") + F.coalesce("m2" if down else "m", F.lit(0))).alias("n"))
+            known = cuts.cut(step)
+        return known.select("thread_id", "step_id", "n")
+
+    one = F.lit(1).cast("bigint")
+    sizes = doubled(trees.select("thread_id", "step_id", F.col("parent").alias("jump"), one.alias("n")), True)
+    by_time = [F.col("at").asc_nulls_last(), F.col("step_id")]
+    earlier = Window.partitionBy("thread_id", "parent").orderBy(*by_time).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.when(F.col("parent").isNull(), 0).otherwise(1)
+    offsets = trees.join(sizes, ["thread_id", "step_id"]).select("thread_id", "step_id", F.col("parent").alias("jump"), offset.alias("n"))
+    tree = trees.select("thread_id", "step_id", "depth").join(doubled(offsets, False), ["thread_id", "step_id"])
+    seen = trees.groupBy("thread_id").agg(F.count("*").alias("seen"))
+    last = F.row_number().over(Window.partitionBy("thread_id").orderBy(*by_time)) - 1 + F.coalesce("seen", F.lit(0))
+    looped = state.where(~F.col("top")).join(seen, "thread_id", "left").select("thread_id", "step_id", F.lit(None).cast("int").alias("depth"), last.alias("n"))
+    return tree.unionByName(looped).select("thread_id", "step_id", "depth", F.col("n").cast("int").alias("position"))
+
+
+def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts, block: int = 20_000) -> DataFrame:
+    """The same as `rebuild_thread` for threads too large for one task."""
     rest = [c for c in steps.columns if c not in ("thread_id", "step_id")]
-    once = steps.groupBy("thread_id", "step_id").agg(F.min(F.struct("is_streaming", *(c for c in rest if c != "is_streaming"))).alias("r")).select("thread_id", "step_id", "r.*")
+    once = steps.groupBy("thread_id", "step_id").agg(F.min_by(F.struct(*rest), _standing_column()).alias("r")).select("thread_id", "step_id", "r.*")
+    once = cuts.cut(once)
     known = once.select(F.col("thread_id").alias("t"), F.col("step_id").alias("known"))
-    own = cuts.cut(once.join(known, (F.col("thread_id") == F.col("t")) & (F.col("parent_id") == F.col("known")), "left").drop("t"))
+    first = once.where("parent_id is null").groupBy("thread_id").agg(F.min(F.struct(F.col("at").isNull(), F.coalesce("at", F.lit(0)), "step_id"))["step_id"].alias("first"))
+    own = once.join(known, (F.col("thread_id") == F.col("t")) & (F.col("parent_id") == F.col("known")), "left").drop("t").join(first, "thread_id", "left")
+    own = own.withColumn("inferred", F.col("parent_id").isNotNull() & F.col("known").isNull()).withColumn("surplus", F.col("parent_id").isNull() & (F.col("step_id") != F.col("first")))
+    own = cuts.cut(own.drop("first"))
     links = own.select(F.col("thread_id").alias("space"), F.col("step_id").alias("node"), F.col("known").alias("parent"))
     placed = cuts.cut(components(links, cuts))
     asks = (F.col("role") == "user") & ~F.col("blank")
@@ -228,7 +322,7 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts) -> DataFrame:
     state = own.join(placed, (F.col("thread_id") == F.col("space")) & (F.col("step_id") == F.col("node"))).join(answered, ["thread_id", "step_id"], "left")
     reasons = state.groupBy("thread_id").agg(
         F.count_if(F.col("parent_id").isNull()).alias("starts"),
-        F.max(~F.col("top") | (F.col("parent_id").isNotNull() & F.col("known").isNull())).alias("lost"),
+        F.max(~F.col("top") | F.col("inferred")).alias("lost"),
         F.count_if(asks).alias("asked"),
         F.count_if(asks & F.col("answered").isNull()).alias("open"),
     )
@@ -236,19 +330,21 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts) -> DataFrame:
     reasons = reasons.select("thread_id", reason.alias("reason"))
     if not messages:
         return reasons
-    depth = F.when(F.col("top"), F.col("hops").cast("int"))
-    return state.join(reasons, "thread_id").select(
+    scored = own.join(_likeliest(own.where("inferred or surplus"), own, cuts, block), ["thread_id", "step_id"], "left")
+    scored = cuts.cut(scored.withColumn("parent", F.coalesce("known", F.when(F.col("inferred"), F.col("likely")))))
+    places = _places(scored.select("thread_id", "step_id", "parent", "at"), cuts)
+    return scored.join(places, ["thread_id", "step_id"]).join(reasons, "thread_id").select(
         "thread_id",
         "step_id",
-        F.col("known").alias("parent_id"),
-        F.lit(False).alias("inferred"),
-        F.when(F.col("known").isNotNull(), F.lit(STATED)).alias("score"),
-        depth.alias("position"),
-        depth.alias("depth"),
+        F.col("parent").alias("parent_id"),
+        "inferred",
+        F.when(F.col("known").isNotNull(), F.lit(STATED)).otherwise(F.col("score")).alias("score"),
+        "position",
+        "depth",
         "role",
         "text",
-        F.lit(False).alias("surplus"),
-        F.lit(None).cast("string").alias("likely"),
+        "surplus",
+        "likely",
         "reason",
     )
 
@@ -260,7 +356,7 @@ def rebuild(steps: DataFrame, messages: bool = False, max_thread: int = 50_000)
     one step without parent, or a step whose parents do not lead to it; else `empty` without a
     non-blank user message; else `no_reply` if some non-blank user message has below it no non-blank,
     error-free assistant message before the next one. Threads of more than `max_thread` rows are
-    solved by joins and never brought to one task.
+    solved by joins, with the same rows, and never brought to one task.
     """
     columns = ["thread_id", "step_id", "parent_id", "is_streaming", "is_error", "role", "name", "text", "blank", "at"]
     own = steps.select(*columns)
