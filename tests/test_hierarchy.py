@@ -84,3 +84,25 @@ def test_links_by_path(spark):
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], LINKS)).count() == 0
     assert spark.createDataFrame([("  //a/ ",)], "p string").select(clean_path(F.col("p"))).first()[0] == "A/"[:1]
+
+
+@pytest.mark.parametrize("max_component", [200_000, 0])
+def test_trees_below_cycles(spark, max_component):
+    links = [*forest(400, 11), *(("ring", i, p, False, "x", "") for i, p in [(3, 5), (4, 3), (5, 4), (6, 4), (7, 6), (8, 6), (1, 7), (9, 9), (2, 9)])]
+    up = {(s, n): p for s, n, p, *_ in links}
+    expected = set()
+    for (space, n), p in up.items():
+        x, way = p, []
+        while x is not None and x != n and x not in way:
+            way.append(x)
+            x = up[space, x]
+        expected |= {(space, a, n, i + 1) for i, a in enumerate(way)}
+    found = hierarchy(spark.createDataFrame(links, LINKS), max_component).cache()
+    pairs = [tuple(r) for r in descendants(found).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+    counts = {}
+    for space, a, *_ in expected:
+        counts[space, a] = counts.get((space, a), 0) + 1
+    assert {(r["space"], r["node"]): r["n_descendants"] for r in found.collect()} == {k: counts.get(k, 0) for k in up}
+    assert sorted(r["node"] for r in found.where("space = 'ring' and closes_cycle").collect()) == [3, 9]
+    found.unpersist()

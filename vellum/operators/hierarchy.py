@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vellum.functions.arrow import whole_groups
 from vellum.session import Cuts
 
-SCHEMA = "space string, node bigint, parent bigint, root bigint, depth int, path string, ancestors array<bigint>, n_descendants bigint, state string, closes_cycle boolean"
+SCHEMA = "space string, node bigint, parent bigint, root bigint, depth int, path string, ancestors array<bigint>, n_descendants bigint, state string, closes_cycle boolean, cycle_ancestors array<bigint>"
 _ARROW = pa.schema(
     [
         ("space", pa.string()),
@@ -31,6 +31,7 @@ _ARROW = pa.schema(
         ("n_descendants", pa.int64()),
         ("state", pa.string()),
         ("closes_cycle", pa.bool_()),
+        ("cycle_ancestors", pa.list_(pa.int64())),
     ]
 )
 
@@ -172,6 +173,8 @@ def walk(nodes: list, parents: list, dangling: list, segments: list) -> dict[str
     below: list = [None] * n
     state: list = [None] * n
     back = [False] * n
+    around: list = [None] * n
+    rings: list[list[int]] = []
     for top in range(n):
         if up[top] >= 0:
             continue
@@ -205,15 +208,35 @@ def walk(nodes: list, parents: list, dangling: list, segments: list) -> dict[str
         ring: list[int] = []
         if colour[i] == grey:  # a back edge closes a cycle
             ring = trail[trail.index(i) :]
-            back[trail[-1]] = True
-            least = min(nodes[k] for k in ring)
+            least = min(ring, key=nodes.__getitem__)
+            back[least] = True
+            rings.append(ring)
             for k in ring:
-                state[k], root[k] = "cycle", least
+                state[k], root[k] = "cycle", nodes[least]
         for k in reversed(trail[: len(trail) - len(ring)]):
             state[k], root[k] = "below_cycle", root[up[k]]
         for k in trail:
             colour[k] = black
-    return {"root": root, "depth": depth, "path": path, "ancestors": ancestors, "n_descendants": below, "state": state, "closes_cycle": back}
+    for ring in rings:  # the trees that hang from it
+        whole = 0
+        for at, r in enumerate(ring):
+            around[r] = [nodes[k] for k in (*ring[:at][::-1], *ring[at + 1 :][::-1])]
+            below[r] = 0
+            tree, i = [r], 0
+            while i < len(tree):
+                k = tree[i]
+                kids = [c for c in children[k] or () if state[c] != "cycle"]
+                line = [*around[k], nodes[k]] if kids else None
+                for c in kids:
+                    around[c], below[c] = line, 0
+                tree += kids
+                i += 1
+            for k in reversed(tree[1:]):
+                below[up[k]] += below[k] + 1
+            whole += len(tree)
+        for r in ring:
+            below[r] = whole - 1
+    return {"root": root, "depth": depth, "path": path, "ancestors": ancestors, "n_descendants": below, "state": state, "closes_cycle": back, "cycle_ancestors": around}
 
 
 def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,20 +258,10 @@ def _by_doubling(nodes: DataFrame, cuts: Cuts) -> DataFrame:
     descendants that a node knows of.
     """
     ring = nodes.where(~F.col("top")).select("space", F.col("jump").alias("node")).distinct().withColumn("on_ring", F.lit(True))
-    looped = nodes.where(~F.col("top")).join(ring, ["space", "node"], "left").select(
-        "space",
-        "node",
-        "parent",
-        F.col("label").alias("root"),
-        F.lit(None).cast("int").alias("depth"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("array<bigint>").alias("ancestors"),
-        F.lit(None).cast("bigint").alias("n_descendants"),
-        F.when(F.col("on_ring"), "cycle").otherwise("below_cycle").alias("state"),
-        (F.col("on_ring").isNotNull() & (F.col("node") == F.col("label"))).alias("closes_cycle"),
-    )
     trees = nodes.where("top")
-    known = cuts.cut(trees.select("space", "node", "parent", F.col("parent").alias("jump"), "label", "dangling", F.col("segment").alias("way"), F.array("node").alias("line"), F.lit(1).cast("bigint").alias("sum")))
+    cut_ring = ~F.col("top") & (F.col("node") == F.col("label"))  # without this link a ring is a chain below its smallest id
+    start = F.when(~cut_ring, F.col("parent")).alias("jump")
+    known = cuts.cut(nodes.select("space", "node", "parent", start, "label", "dangling", F.col("segment").alias("way"), F.array("node").alias("line"), F.lit(1).cast("bigint").alias("sum"), "top"))
     while known.where(F.col("jump").isNotNull()).limit(1).count():
         gained = known.where(F.col("jump").isNotNull()).groupBy(F.col("space").alias("s2"), F.col("jump").alias("n2")).agg(F.sum("sum").alias("more"))
         to = known.select(F.col("space").alias("s"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("way").alias("w"), F.col("line").alias("l"))
@@ -265,10 +278,11 @@ def _by_doubling(nodes: DataFrame, cuts: Cuts) -> DataFrame:
                 F.when(F.col("n").isNull(), F.col("way")).otherwise(F.concat("w", F.lit("/"), "way")).alias("way"),
                 F.when(F.col("n").isNull(), F.col("line")).otherwise(F.concat("l", "line")).alias("line"),
                 (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"),
+                "top",
             )
         )
     tops = trees.where(F.col("parent").isNull()).select("space", F.col("node").alias("label"), F.col("dangling").alias("top_dangles"))
-    done = known.join(tops, ["space", "label"]).select(
+    done = known.where("top").join(tops, ["space", "label"]).select(
         "space",
         "node",
         "parent",
@@ -279,6 +293,25 @@ def _by_doubling(nodes: DataFrame, cuts: Cuts) -> DataFrame:
         (F.col("sum") - 1).alias("n_descendants"),
         F.when(F.col("top_dangles"), "orphan").otherwise("rooted").alias("state"),
         F.lit(False).alias("closes_cycle"),
+        F.lit(None).cast("array<bigint>").alias("cycle_ancestors"),
+    )
+    below = known.where(~F.col("top")).join(ring, ["space", "node"], "left")
+    chains = below.where("on_ring").groupBy("space", "label").agg(F.max_by("line", F.size("line")).alias("chain"))
+    sizes = below.groupBy("space", "label").agg(F.count("*").alias("size"))
+    above = F.size(F.array_intersect("line", "chain"))  # members of the ring on the way
+    rest = F.slice("chain", above + 1, F.size("chain"))
+    looped = below.join(chains, ["space", "label"]).join(sizes, ["space", "label"]).select(
+        "space",
+        "node",
+        "parent",
+        F.col("label").alias("root"),
+        F.lit(None).cast("int").alias("depth"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("array<bigint>").alias("ancestors"),
+        (F.when(F.col("on_ring"), F.col("size")).otherwise(F.col("sum")) - 1).alias("n_descendants"),
+        F.when(F.col("on_ring"), "cycle").otherwise("below_cycle").alias("state"),
+        (F.col("node") == F.col("label")).alias("closes_cycle"),
+        F.concat(rest, F.slice("line", F.lit(1), F.size("line") - 1)).alias("cycle_ancestors"),
     )
     return done.unionByName(looped)
 
@@ -289,7 +322,8 @@ def hierarchy(links: DataFrame, max_component: int = 200_000) -> DataFrame:
     `links`: space, node, parent, dangling, segment, as from links_by_id and links_by_path; further
     columns are ignored. `state` is `rooted`, `orphan` (the ancestors end at a missing parent; root
     is the topmost unit there is), `cycle` or `below_cycle` (root is the smallest id on the cycle;
-    depth, path, ancestors and n_descendants are null). Each cycle has one link with closes_cycle.
+    depth, path and ancestors are null; cycle_ancestors holds the units above, the nearest last, each
+    unit of the cycle once and never the unit itself). closes_cycle marks the smallest id of a cycle.
     A node that is its own parent is a cycle. An empty table gives an empty result.
     `descendants` turns ancestors into one row per node and descendant.
     """
@@ -312,6 +346,12 @@ def _colocated(nodes: DataFrame) -> DataFrame:
     return together.mapInArrow(_walk_batches, SCHEMA)
 
 
+def all_ancestors() -> Column:
+    """The units above a unit, the nearest last, at cycles too."""
+    return F.coalesce("ancestors", "cycle_ancestors")
+
+
 def descendants(found: DataFrame) -> DataFrame:
-    """One row per node and descendant: (space, ancestor, node, distance). Nodes at cycles have none."""
-    return found.select("space", "node", F.posexplode("ancestors").alias("at", "ancestor"), "depth").select("space", "ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+    """One row per node and descendant: (space, ancestor, node, distance). Units of a cycle are below each other, not below themselves."""
+    above = found.select("space", "node", all_ancestors().alias("above"))
+    return above.select("space", "node", F.size("above").alias("n"), F.posexplode("above").alias("at", "ancestor")).select("space", "ancestor", "node", (F.col("n") - F.col("at")).alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators.hierarchy import descendants, hierarchy, links_by_id, links_by_path
+from vellum.operators.hierarchy import all_ancestors, descendants, hierarchy, links_by_id, links_by_path
 from vellum.sources.tables import table
 
 
@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     """Each unit with its full path, depth, root, ancestors and number of descendants."""
     found = hierarchy(_links(spark, folder))
-    return found.select(F.col("space").alias("tbl"), F.col("node").alias("record_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", "ancestors", "n_descendants", "state")
+    return found.select(F.col("space").alias("tbl"), F.col("node").alias("record_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", all_ancestors().alias("ancestors"), "n_descendants", "state", "closes_cycle")
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
