@@ -158,3 +158,18 @@ def test_shortening(spark):
     assert [r[0] for r in df.select(shorten(F.col("t"), 10)).collect()] == ["aaaaaaa...", "xxxxxxx...", "short", None]
     waits = spark.createDataFrame([("please retry in 2.5s",), ('"retryDelay": "0.2s"',), ("no",), (None,)], "m string")
     assert [r[0] for r in waits.select(retry_seconds(F.col("m"))).collect()] == [2.5, 1.0, 20.0, 20.0]
+
+
+def test_no_chunk_passes_the_target(spark):
+    from vellum.functions.text import estimate_tokens
+    from vellum.operators.structure import cut_text
+
+    texts = ["aa bb. " * 900, "x" * 5_000, "line one\n" * 400 + "\n\n" + "y " * 2_000, "short"]
+    for text in texts:
+        parts = cut_text(text, 100)
+        assert all(0 < len(p) <= 100 for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
+    assert cut_text("one two\n\nthree four. five", 12) == ["one two", "three four.", "five"]
+    units = spark.createDataFrame([(1, None, "article", "own", 1), *((i + 2, 1, "paragraph", t, i + 2) for i, t in enumerate(texts))], "unit_id long, parent_id long, unit_type string, text string, ordinal int")
+    chunks = I.chunk_units(units).withColumn("whole", estimate_tokens(F.col("text"))).orderBy("chunk_no").collect()
+    assert all(r["tokens"] <= 500 and r["whole"] <= 500 for r in chunks)
+    assert "".join("".join(r["text"] for r in chunks).split()) == "".join("".join(["own", *texts]).split())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import lru_cache
 
@@ -105,6 +106,11 @@ def estimate_tokens(text: Column) -> Column:
     return (F.length(F.coalesce(text, F.lit(""))) / F.lit(CHARS_PER_TOKEN)).cast("int") + TOKEN_BASE
 
 
+def most_characters(tokens: int) -> int:
+    """The longest text whose estimate is at most so many tokens."""
+    return math.ceil((tokens - TOKEN_BASE + 1) * CHARS_PER_TOKEN) - 1
+
+
 def micros(created_at: Column) -> Column:
     """ISO text in any of its forms as UTC microseconds; without a zone it is UTC; unreadable is null."""
     stamp = F.trim(created_at)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import classify_heading, estimate_tokens
-from vellum.operators.structure import greedy_chunks
+from vellum.operators.structure import fitting_pieces, greedy_chunks
 
 # Unit types that are embedded; smallest own text of a container; chunk target.
 EMBEDDED = ("article", "annex", "recital", "section", "chapter")
@@ -82,7 +82,8 @@ def select_units(units: DataFrame, pairs: DataFrame, types: list[str]) -> DataFr
 def chunk_units(units: DataFrame) -> DataFrame:
     """(unit_id, chunk_no, text, tokens): chunks of embeddable units, packed from their paragraphs.
 
-    A unit's pieces are its own text and then its paragraphs in order. Containers that have children
+    A unit's pieces are its own text and then its paragraphs in order, oversize ones cut by paragraph,
+    line, sentence and word, so that no chunk passes TARGET. Containers that have children
     other than paragraphs and fewer than CONTAINER_TOKENS of own text give no chunk.
     """
     cost = estimate_tokens(F.col("text"))
@@ -90,7 +91,8 @@ def chunk_units(units: DataFrame) -> DataFrame:
     hosts = units.where(F.col("unit_type").isin(*EMBEDDED)).join(children, "unit_id", "left").where(~((F.coalesce("children", F.lit(0)) > 0) & (F.coalesce("paragraphs", F.lit(0)) == 0) & (cost < CONTAINER_TOKENS)))
     own = hosts.select("unit_id", F.lit(0).cast("bigint").alias("piece"), "text")
     paragraphs = units.where("unit_type = 'paragraph'").select(F.col("parent_id").alias("unit_id"), (F.col("ordinal").cast("bigint") * 1_000_000_000 + F.col("unit_id")).alias("piece"), "text").join(hosts.select("unit_id"), "unit_id", "left_semi")
-    pieces = own.unionByName(paragraphs).where("trim(text) <> ''").withColumn("tokens", cost)
+    pieces = own.unionByName(paragraphs).where("trim(text) <> ''")
+    pieces = pieces.select("unit_id", "piece", F.posexplode(fitting_pieces(F.col("text"), TARGET)).alias("part", "text")).select("unit_id", F.struct("piece", "part").alias("piece"), "text").withColumn("tokens", cost)
     numbered = greedy_chunks(pieces, "unit_id", "piece", "tokens", TARGET).select("unit_id", "piece", "chunk_no")
     packed = pieces.join(numbered, ["unit_id", "piece"]).groupBy("unit_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("ps"), F.sum("tokens").alias("tokens"))
     return packed.select("unit_id", "chunk_no", F.array_join(F.transform("ps", lambda p: p["text"]), "\n\n").alias("text"), "tokens")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.arrow import whole_groups
-from vellum.functions.text import estimate_tokens
+from vellum.functions.text import estimate_tokens, most_characters
 
 
 def path_prefixes(path: Column) -> Column:
@@ -129,6 +131,53 @@ def paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
     return grouped.select(key, "paragraph_no", "label", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("paragraph"))
 
 
+#: Breaks at which an oversize piece is cut, coarse to fine: paragraph, line, sentence, word.
+BREAKS = tuple(map(re.compile, (r"\r?\n(?:[ \t]*\r?\n)+", r"\r?\n", r"(?<=[.;:!?])\s+", r"\s+")))
+
+
+def cut_text(text: str, limit: int, kind: int = 0) -> list[str]:
+    """The text in pieces of at most `limit` code points, without the white space around them.
+
+    Stretches between breaks are joined while they fit; one that is itself too long is cut at the
+    next finer kind, a word at last by length.
+    """
+    text = text.strip()
+    if len(text) <= limit:
+        return [text] if text else []
+    if kind == len(BREAKS):
+        return [text[i : i + limit] for i in range(0, len(text), limit)]
+    breaks = [m.span() for m in BREAKS[kind].finditer(text)]
+    out: list[str] = []
+    start = end = 0
+    for a, b in zip([0, *(e for _, e in breaks)], [*(s for s, _ in breaks), len(text)]):
+        if b - start <= limit:
+            end = b
+            continue
+        if end > start:
+            out.append(text[start:end])
+        start = end = a
+        if b - a <= limit:
+            end = b
+        else:
+            out += cut_text(text[a:b], limit, kind + 1)
+            start = end = b
+    if end > start:
+        out.append(text[start:end])
+    return [piece for piece in map(str.strip, out) if piece]
+
+
+def fitting_pieces(text: Column, target: int) -> Column:
+    """The text as an array of pieces whose estimated tokens are at most `target`; only longer texts leave the JVM."""
+    limit = most_characters(target)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut_text(t, limit))
+
+    long = F.length(text) > limit
+    return F.when(long, cut(F.when(long, text))).otherwise(F.array(text))
+
+
 def greedy_chunks(pieces: DataFrame, by: str, order: str, cost: str, target: int = 500) -> DataFrame:
     """Assign pieces, in order, to chunks: a piece that would pass the target opens a new chunk."""
 

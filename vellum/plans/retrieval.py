@@ -130,7 +130,9 @@ def paragraph_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
-    return S.greedy_chunks(lines.withColumn("cost", T.estimate_tokens(F.col("line"))), "doc_id", "line_no", "cost")
+    parts = lines.select("doc_id", "line_no", F.posexplode(S.fitting_pieces(F.col("line"), 500)).alias("part_no", "line"))
+    priced = parts.select("doc_id", F.struct("line_no", "part_no").alias("at"), T.estimate_tokens(F.col("line")).alias("cost"))
+    return S.greedy_chunks(priced, "doc_id", "at", "cost").select("doc_id", "at.*", "cost", "chunk_no")
 
 
 def citation_labels(spark: SparkSession, folder: str) -> DataFrame:
