@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators.hierarchy import clean_path, descendants, hierarchy, links_by_id, links_by_path
+from vellum.operators.hierarchy import clean_path, descendants, hierarchy, links_by_id, links_by_path, walk
 
 UNITS = "unit_id long, ver long, parent_id long, unit_path string, path string, state string, node int"
 LINKS = "space string, node long, parent long, dangling boolean, segment string, label string"
@@ -65,6 +65,37 @@ def test_deep_chain_and_star(spark, max_component):
     assert descendants(found.where("space = 'star'")).count() == 999
 
 
+COLUMNS = ["space", "node", "parent", "root", "depth", "path", "ancestors", "n_descendants", "state", "closes_cycle", "cycle_ancestors"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("paths", [True, False])
+def test_all_ways_give_the_same_rows(spark, seed, paths):
+    rng = random.Random(seed)
+    links = [*forest(300, seed), *(("deep", i, i - 1 if i else None, True, "x", "") for i in range(70))]
+    n = 40  # rings of all sizes with trees of branches below them
+    links += [("rings", i, (i + 1) % 7 if i < 7 else 8 + (i - 7) % 3 if i < 11 else rng.randrange(i), False, f"r{i}", "") for i in range(n)]
+    plain = spark.createDataFrame([r[:5] for r in links], "space string, node long, parent long, dangling boolean, segment string")
+    scoped = plain.withColumn("scope", F.when(F.col("space") == "s", F.lit(None)).otherwise(F.length("space")).cast("bigint"))
+    results = []
+    for rows, limit in ((plain, 200_000), (scoped, 200_000), (plain, 5), (scoped, 5), (plain, 0), (scoped, 60)):
+        found = hierarchy(rows, limit, paths)
+        assert found.columns == COLUMNS
+        results.append(sorted(map(repr, (tuple(r) for r in found.collect()))))
+    assert all(r == results[0] for r in results[1:]) and len(results[0]) == len(links)
+
+
+def test_memory_is_linear_in_depth():
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    found = walk(list(range(n)), [None, *range(n - 1)], [False] * n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.level[-1] == n - 1 and found.below[0] == n - 1 and peak < 200 << 20
+
+
 def test_links_by_id(spark):
     rows = [(1, 1, None, "A", "", "", 0), (2, 1, 1, "A/B", "", "", 0), (2, 1, 1, "A/B", "", "", 0), (3, 1, 0, None, "", "", 0), (4, 2, 1, "", "", "", 0), (5, 1, 99, "X", "", "", 0), (6, 1, 6, "S", "", "", 0), (None, 1, 1, "N", "", "", 0), (7, None, None, "Q", "", "", 0), (8, None, 7, "Q/R", "", "", 0)]
     links = links_by_id(spark.createDataFrame(rows, UNITS), "t", "unit_id", "ver", "parent_id", "unit_path")

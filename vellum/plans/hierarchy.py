@@ -17,7 +17,7 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Units without a root, and why."""
-    found = hierarchy(_links(spark, folder)).where(F.col("state") != "rooted")
+    found = hierarchy(_links(spark, folder), paths=False).where(F.col("state") != "rooted")
     return found.select(F.col("space").alias("tbl"), F.col("node").alias("record_id"), "state")
 
 
