@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from vellum.llm.quantiles import countable, day_runs, digest, select_ranks, week_start
+from vellum.llm.quantiles import corrections, countable, day_runs, digest, latest, select_ranks, week_start
 
 LOG = "query_id long, asked_at timestamp, logged_at timestamp, intent string, latency_ms int, extra string"
 
@@ -28,6 +28,19 @@ def test_runs_of_separate_days_combine(spark):
     assert select_ranks(a.unionByName(b), ["g"], {"p50": (1, 2)}).collect()[0]["value"] == 3
 
 
+def test_late_rows_correct_earlier_runs(spark):
+    at = dt.datetime(2000, 1, 3, 10)
+    rng = random.Random(3)
+    log = [(i % 60, at, at + dt.timedelta(minutes=rng.randrange(600)), rng.choice(("a", "b")), rng.randint(1, 99), "") for i in range(150)]
+    first, late = (countable(spark.createDataFrame(part, LOG)) for part in (log[:100], log[100:]))
+    whole = day_runs(countable(spark.createDataFrame(log, LOG)))
+    parts = day_runs(first).unionByName(corrections(latest(first), late))
+    stats = {"p50": (1, 2), "p95": (19, 20), "first": (1, 1000)}
+    for finish in (1, 512):
+        a, b = (sorted(map(tuple, select_ranks(runs, ["intent"], stats, finish).collect())) for runs in (whole, parts))
+        assert a == b and len(a) == 6
+
+
 def test_repeats_nulls_and_empty(spark):
     at = dt.datetime(2000, 1, 3, 10)
     rows = [

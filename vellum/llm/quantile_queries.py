@@ -15,7 +15,7 @@ LIMITS, LEAST = {"p50": 4_000, "p95": 20_000}, 60
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
     runs = day_runs(countable(table(spark, folder, "query_log")))
-    return select_ranks(runs.select(week_start(F.col("day")).alias("week_start"), "intent", "vals"), ["week_start", "intent"], STATS)
+    return select_ranks(runs.select(week_start(F.col("day")).alias("week_start"), "intent", "sign", "vals"), ["week_start", "intent"], STATS)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
