@@ -63,8 +63,8 @@ def test_empty_and_times(spark):
 
 
 def link_rows():
-    """A true parent 61 steps back, 60 blank steps in a row, and a second root."""
-    far = [("a", None, U, "zebra quagga okapi tapir")] + [(f"m{i:02d}", "a", A, f"filler {i}") for i in range(60)] + [("z", "gone", A, "zebra quagga okapi tapir")]
+    """A true parent 61 steps back, 60 blank tool steps in a row, and a second root."""
+    far = [("a", None, U, "zebra quagga okapi tapir")] + [(f"m{i:02d}", f"m{i - 1:02d}" if i else "s", A, f"filler {i}") for i in range(60)] + [("z", "gone", A, "zebra quagga okapi tapir")]
     blanks = [("a", None, U, "question")] + [(f"b{i:02d}", "a", "tool", " ") for i in range(60)] + [("z", "gone", A, "x")]
     roots = [("a", None, U, "zebra quagga"), ("b", "a", A, "okapi tapir"), ("c", None, U, "zebra quagga")]
     return [*rows("far", *far), *rows("blanks", *blanks), *rows("roots", *roots)]
@@ -78,8 +78,9 @@ def stamped(data):
 
 def test_all_earlier_steps_are_candidates(spark):
     found = rebuild(prepared(spark.createDataFrame(stamped(link_rows()), ROWS)), messages=True).where("inferred or surplus").collect()
-    assert {(r["thread_id"], r["step_id"]): r["likely"] for r in found} == {("far", "z"): "a", ("blanks", "z"): "a", ("roots", "c"): "a"}
-    assert {r["thread_id"]: r["parent_id"] for r in found} == {"far": "a", "blanks": "a", "roots": None}
+    assert {(r["thread_id"], r["step_id"]): r["likely"] for r in found} == {("far", "z"): "a", ("far", "m00"): "a", ("blanks", "z"): "b59", ("roots", "c"): "b"}
+    assert {(r["thread_id"], r["step_id"]): r["parent_id"] for r in found} == {("far", "z"): "a", ("far", "m00"): "a", ("blanks", "z"): "b59", ("roots", "c"): None}
+    assert {r["channel"] for r in rebuild(prepared(spark.createDataFrame(link_rows(), ROWS)), messages=True).where("thread_id = 'roots'").collect()} == {"a", "c"}
 
 
 def branching(seed):
@@ -102,7 +103,20 @@ def test_large_threads_have_the_same_rows(spark, monkeypatch, block):
     monkeypatch.setattr(conversations._by_doubling, "__defaults__", (block,))
     tree = [("q", None, U, "q"), ("l", "q", A, "x"), ("r", "q", A, "y"), ("ll", "l", U, "q2"), ("rr", "r", "tool", ""), ("lll", "ll", A, "z")]
     steps = prepared(spark.createDataFrame([*DATA, *branching(1), *branching(2), *stamped(link_rows()), *rows("tree", *tree)], ROWS))
-    small, large = ([tuple(r) for r in rebuild(steps, messages=True, max_thread=n).withColumn("score", F.round("score", 9)).collect()] for n in (50_000, 0))
+    small, large = ([tuple(r) for r in rebuild(steps, messages=True, max_thread=n, every=block == 13).withColumn("score", F.round("score", 9)).collect()] for n in (50_000, 0))
     assert sorted(map(repr, small)) == sorted(map(repr, large))
     order = [r[1] for r in sorted((r for r in large if r[0] == "tree"), key=lambda r: r[5])]
     assert order == ["q", "l", "ll", "lll", "r", "rr"]
+
+
+def test_hidden_links_are_found_again():
+    """A thread of questions, tool steps and answers: each link, hidden in turn, is the likeliest of all."""
+    thread = []
+    for i in range(20):
+        at, topic = i * 100_000_000, f"topic{i} matter{i} thing{i}"
+        thread.append({"step_id": f"q{i}", "parent_id": f"a{i - 1}" if i else None, "role": "user", "text": topic, "at": at})
+        thread.append({"step_id": f"t{i}", "parent_id": f"q{i}", "role": "tool", "text": "", "at": at + 5_000_000})
+        thread.append({"step_id": f"a{i}", "parent_id": f"t{i}", "role": "assistant", "text": f"about {topic}", "at": at + 9_000_000})
+    full = [{"thread_id": "t", "is_streaming": False, "is_error": False, "name": None, "blank": not r["text"], **r} for r in thread]
+    reason, found = conversations.rebuild_thread(full, every=True)
+    assert reason is None and sum(r["likely"] == r["parent_id"] for r in found[1:]) >= 0.9 * (len(found) - 1)

@@ -33,6 +33,19 @@ def test_tightest_bin_and_conflicts():
     assert pack([], [], [], 10) == [] and pack([0], ["a"], [None], 10) == [-1]
 
 
+def test_sources_are_kept_apart_while_the_slack_lasts():
+    sizes, sources = [6] * 50 + [4] * 50, ["a", "b"] * 25 + ["a"] * 50
+    repeats = []
+    for slack in (0.0, 0.2, 1.0):
+        placed = pack(sizes, sources, [None] * 100, 10, slack)
+        bins = defaultdict(list)
+        for i, b in enumerate(placed):
+            bins[b].append(sources[i])
+        assert len(bins) <= 50 * (1 + slack)
+        repeats.append(sum(len(set(v)) < len(v) for v in bins.values()))
+    assert repeats[0] > repeats[1] > repeats[2] == 0
+
+
 def test_rows(spark):
     rows = [(1, 5_000, "a", 1, "x", "x"), (2, 0, "a", None, "x", "x"), (3, None, None, None, None, None), (4, 2_048, "a", 2, "", ""), (5, 10, None, None, "", ""), (5, 10, None, None, "", "")]
     found = fill_containers(spark.createDataFrame(rows, ROWS), block=2)

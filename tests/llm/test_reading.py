@@ -50,6 +50,14 @@ def test_edge_rows(spark):
     assert {r["reading_level"] for r in levels(spark, docs, []).collect()} <= {1, None}
 
 
+def test_documents_without_language_are_counted(spark):
+    docs = [(i, "the form is free of charge", "en", "", 0) for i in range(6)] + [(i, "das blatt ist frei", "de", "", 0) for i in range(6, 12)] + [(12, "the form is late", None, "", 0), (13, "das blatt fehlt", "und", "", 0), (14, "??", None, "", 0), (15, None, None, "", 0)]
+    df = spark.createDataFrame(docs, DOCS)
+    stated = Cuts(spark).cut(document_frequencies(df))
+    told = {(r["lang"], r["word"]): r["n"] for r in document_frequencies(df, familiar_words(stated)).collect()}
+    assert told["en", ""] == told["de", ""] == told["en", "late"] == told["de", "fehlt"] == 1 and len(told) == 9
+
+
 def test_parts():
     assert [language_code(x) for x in ("en", " EN ", "en-GB", "fr_XX", "und", "", None, "e")] == ["en", "en", "en", "fr", "", "", "", ""]
     assert all(m[1][0] < 0 for m in fit([]))

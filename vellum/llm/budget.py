@@ -1,7 +1,8 @@
 """Token budgets by slice: count-only Viterbi over a double-array trie.
 
 The pieces of a public vocabulary are read as a unigram model: the piece of rank r weighs
--log(r + 1). Per segment, a space with the word after it, the best path through the trie gives the
+-log(r + OFFSET). A text is normalized as the vocabulary's own tokenizer does it: a space before it,
+spaces as a mark. Per segment, a space with the word after it, the best path through the trie gives the
 number of tokens. The result is an estimate for a vocabulary that was made by pair merges; the
 README states the measured difference.
 """
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Weight of a byte that no piece covers; it is one token.
 BYTE = -40.0
+#: Ranks of a pair-merging vocabulary are no probabilities: the offset flattens the first of them. With
+#: it the counts are within 1 % of the tokenizer's own in each language (README).
+OFFSET = 45
 #: Segments whose counts a worker remembers.
 REMEMBER = 500_000
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -80,7 +84,7 @@ def piece_weights(model_file: str) -> dict[bytes, float]:
     for i in range(model.vocab_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             rank = -model.get_score(i)
-            weights[model.id_to_piece(i).encode()] = -math.log(min(rank, model.vocab_size()) + 300)
+            weights[model.id_to_piece(i).encode()] = -math.log(min(rank, model.vocab_size()) + OFFSET)
     return weights
 
 

@@ -54,8 +54,8 @@ def _counted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Slices with at least one unit that has a candidate row."""
-    slices = _counted(spark, folder).select(F.explode("all").alias("s"), "tokens").groupBy("s").agg(F.sum("tokens").alias("tokens"))
-    return slices.where("tokens >= 0").select("s.source_key", "s.lang", "s.authority")
+    slices = _counted(spark, folder).select(F.explode("all").alias("s"), "tokens").groupBy("s").agg(F.count("tokens").alias("units"), F.sum("tokens").alias("tokens"))
+    return slices.where("units > 0").select("s.source_key", "s.lang", "s.authority")
 
 
 def p5_tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ def p4_conversations(spark: SparkSession, folder: str) -> DataFrame:
     threads = table(spark, folder, "chat_threads").select("thread_id").distinct()
     steps = rebuild(prepared(table(spark, folder, "chat_steps")), messages=True)
     kept = steps.where(F.col("reason").isNull() & F.col("role").isin("user", "assistant", "system")).join(threads, "thread_id", "left_semi")
-    return kept.select("thread_id", "position", "depth", "role", "step_id", "parent_id", "text")
+    return kept.select("thread_id", "position", "depth", "channel", "role", "step_id", "parent_id", "text")
 
 
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,13 @@ def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     return steps.where("inferred or surplus").select("thread_id", "step_id", F.col("likely").alias("parent_id"), "score")
 
 
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Per role: links of sound threads, and how many of them the score alone finds again, each hidden in turn."""
+    steps = rebuild(prepared(table(spark, folder, "chat_steps")), messages=True, every=True)
+    known = steps.where("parent_id is not null and (reason is null or reason <> 'broken')")
+    return known.groupBy("role").agg(F.count("*").alias("links"), F.count_if(F.col("likely") == F.col("parent_id")).alias("found"))
+
+
 SQL = {
     "p4_found": r"""
 WITH RECURSIVE one AS (
@@ -57,4 +64,4 @@ SELECT * FROM (
   FROM (SELECT DISTINCT thread_id FROM chat_threads) c LEFT JOIN t USING (thread_id) LEFT JOIN reached USING (thread_id)) WHERE reason IS NOT NULL
 """
 }
-QUERIES = {"p4_found": p4_found, "p4_conversations": p4_conversations, "p4_links": p4_links}
+QUERIES = {"p4_found": p4_found, "p4_conversations": p4_conversations, "p4_links": p4_links, "p4_recall": p4_recall}

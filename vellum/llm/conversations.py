@@ -1,9 +1,10 @@
 """Rebuilding conversations from message rows.
 
 Per thread, every step chooses its likeliest parent among candidate reply links, scored by whether
-the link is stated, by time, mentions and lexical overlap; a stated link that exists in the thread
-always wins. The chosen links form trees. A thread is sound only if the stated links alone form one
-tree; inferred links show where its pieces most likely belong.
+the link is stated, by time, mentions, lexical overlap, the roles at both ends, and whether the
+candidate has a reply already; a stated link that exists in the thread always wins. The chosen links
+form trees: one per conversation that shares the thread (`channel`). A thread is sound only if the
+stated links alone form one tree; inferred links show where its pieces most likely belong.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ from vellum.session import Cuts
 FADE = 120.0
 #: Weights of a stated link, time, mention and lexical overlap; the stated one outweighs the rest.
 STATED, TIME, MENTION, OVERLAP = 10.0, 1.0, 2.0, 1.5
+#: Weights of roles that follow each other, and of a candidate without a reply so far.
+ROLES, OPEN = 1.0, 3.0
+#: Role of a step to the roles it usually hangs from.
+FOLLOWS = {"user": ("assistant", "system"), "assistant": ("user", "tool", "run"), "tool": ("user", "tool", "run"), "run": ("user", "tool", "run")}
 _WORD = re.compile(r"\w{3,}")
 _ROLES = {"usermessage": "user", "assistantmessage": "assistant", "systemmessage": "system", "tool": "tool", "run": "run"}
 
-STEPS = "thread_id string, step_id string, parent_id string, inferred boolean, score double, position int, depth int, role string, text string, surplus boolean, likely string, reason string"
+STEPS = "thread_id string, step_id string, parent_id string, inferred boolean, score double, position int, depth int, role string, text string, surplus boolean, likely string, channel string, reason string"
 THREADS = "thread_id string, reason string"
 _TYPES = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
 
@@ -83,12 +88,19 @@ def _time_key(r: dict) -> tuple:
 
 
 class _Candidates:
-    """Non-blank steps as candidate parents; one pass over an inverted index scores all earlier ones."""
+    """Steps as candidate parents; one pass over an inverted index scores all earlier ones.
+
+    `steps`: step_id, at, role, name, text and kids, the number of steps that state it as their parent.
+    """
 
     def __init__(self, steps: list[dict]):
-        self.steps = sorted((s for s in steps if not s["blank"]), key=_time_key)
+        self.steps = sorted(steps, key=_time_key)
         self.keys = [_time_key(s) for s in self.steps]
+        self.place = {s["step_id"]: i for i, s in enumerate(self.steps)}
         self.at = np.array([s["at"] or 0 for s in self.steps], np.int64)
+        roles = np.array([s["role"] for s in self.steps], object)
+        self.follows = {role: np.isin(roles, before) for role, before in FOLLOWS.items()}
+        self.kids = np.array([s["kids"] for s in self.steps], np.int64)
         postings: dict[str, list[int]] = {}
         named: dict[str, list[int]] = {}
         sizes = []
@@ -104,11 +116,20 @@ class _Candidates:
         self.named = {name: np.array(at, np.int64) for name, at in named.items()}
 
     def best(self, child: dict) -> tuple[float, dict] | None:
-        """(score, step) of the likeliest step before the child in time; of equal ones the latest."""
+        """(score, step) of the likeliest step before the child in time; of equal ones the latest.
+
+        The child's own stated link is not held against its parent.
+        """
         n = bisect_left(self.keys, _time_key(child))
         if not n:
             return None
-        score = np.zeros(n)
+        kids = self.kids[:n]
+        if (own := self.place.get(child["parent_id"], n)) < n:
+            kids = kids.copy()
+            kids[own] -= 1
+        score = np.where(kids > 0, 0.0, OPEN)
+        if child["role"] in self.follows:
+            score += ROLES * self.follows[child["role"]][:n]
         if child["at"] is not None:  # then all earlier steps have a time too
             score += TIME * np.exp(-np.abs(child["at"] - self.at[:n]) / 1e6 / FADE)
         text = child["text"] or ""
@@ -124,13 +145,14 @@ class _Candidates:
         return float(score[at]), self.steps[at]
 
 
-def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
+def rebuild_thread(rows: list[dict], every: bool = False) -> tuple[str | None, list[dict]]:
     """(reason, steps in order) of one thread; reason is null for a conversation to keep.
 
     Of rows with one step_id the first finished one stands (an unfinished one if there is no other).
-    A step whose stated parent is missing hangs from the likeliest of all earlier non-blank steps
-    (`inferred`). Of several steps without parent all but the earliest are `surplus`: they stay roots,
-    and `likely` names their likeliest parent.
+    A step whose stated parent is missing hangs from the likeliest of all earlier steps (`inferred`).
+    Of several steps without parent all but the earliest are `surplus`: they stay roots, and `likely`
+    names their likeliest parent; with `every` it does so for all steps but the earliest root.
+    `channel` is the step at the top of a step's tree, null at cycles.
     Order: depth-first from the root, siblings by time, then id; what hangs from no root comes last.
     """
     steps: dict[str, dict] = {}
@@ -142,11 +164,20 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     candidates: _Candidates | None = None
     chosen: dict[str, str | None] = {}
     rooted = False
+    for r in by_time:
+        r["kids"] = 0
+    for r in by_time:
+        if r["parent_id"] in steps:
+            steps[r["parent_id"]]["kids"] += 1
     for r in by_time:
         stated = r["parent_id"]
-        r |= {"inferred": False, "surplus": False, "likely": None, "score": None}
+        r |= {"inferred": False, "surplus": False, "likely": None, "score": None, "channel": None}
         if stated in steps:
             r["score"] = STATED
+            if every:
+                candidates = candidates or _Candidates(by_time)
+                if best := candidates.best(r):
+                    r["likely"] = best[1]["step_id"]
         elif stated is None and not rooted:
             rooted = True
         else:
@@ -164,18 +195,18 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     seen: set[str] = set()
     answered: set[str] = set()
     asked: set[str] = set()
-    stack = [(r, 0, None) for r in reversed(children.get(None, []))]
+    stack = [(r, 0, None, r["step_id"]) for r in reversed(children.get(None, []))]
     while stack:
-        r, depth, question = stack.pop()
+        r, depth, question, top = stack.pop()
         key = r["step_id"]
         seen.add(key)
-        ordered.append({**r, "parent_id": chosen[key], "depth": depth})
+        ordered.append({**r, "parent_id": chosen[key], "depth": depth, "channel": top})
         if r["role"] == "user" and not r["blank"]:
             asked.add(key)
             question = key
         elif r["role"] == "assistant" and not r["blank"] and not r["is_error"] and question is not None:
             answered.add(question)
-        stack += [(c, depth + 1, question) for c in reversed(children.get(key, []))]
+        stack += [(c, depth + 1, question, top) for c in reversed(children.get(key, []))]
     if len(seen) < len(steps):  # the rest hangs from cycles
         broken = True
         for r in by_time:
@@ -190,7 +221,7 @@ def rebuild_thread(rows: list[dict]) -> tuple[str | None, list[dict]]:
     return ("no_reply" if asked - answered else None), ordered
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch], messages: bool) -> Iterator[pa.RecordBatch]:
+def _rebuild(batches: Iterator[pa.RecordBatch], messages: bool, every: bool) -> Iterator[pa.RecordBatch]:
     schema = _arrow(STEPS if messages else THREADS)
     out: list[dict] = []
 
@@ -203,7 +234,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], messages: bool) -> Iterator[pa.R
         for end in range(1, len(rows) + 1):
             if end < len(rows) and rows[end]["thread_id"] == rows[start]["thread_id"]:
                 continue
-            reason, ordered = rebuild_thread(rows[start:end])
+            reason, ordered = rebuild_thread(rows[start:end], every)
             out += [{**r, "reason": reason} for r in ordered] if messages else [{"thread_id": rows[start]["thread_id"], "reason": reason}]
             start = end
         if len(out) >= 10_000:
@@ -213,9 +244,9 @@ def _rebuild(batches: Iterator[pa.RecordBatch], messages: bool) -> Iterator[pa.R
         yield batch(out)
 
 
-def _in_one_task(steps: DataFrame, messages: bool) -> DataFrame:
+def _in_one_task(steps: DataFrame, messages: bool, every: bool) -> DataFrame:
     together = steps.repartition("thread_id").sortWithinPartitions("thread_id")
-    return together.mapInArrow(lambda batches: _rebuild(batches, messages), STEPS if messages else THREADS)
+    return together.mapInArrow(lambda batches: _rebuild(batches, messages, every), STEPS if messages else THREADS)
 
 
 def _likeliest(children: DataFrame, parents: DataFrame, cuts: Cuts, block: int) -> DataFrame:
@@ -224,8 +255,7 @@ def _likeliest(children: DataFrame, parents: DataFrame, cuts: Cuts, block: int)
     Parents and children of a thread are spread by hash over blocks of about `block` steps; each pair
     of blocks is scored in one task, and the best of a child's blocks stands.
     """
-    columns = ["step_id", "name", "text", "blank", "at"]
-    parents = parents.where(~F.col("blank"))
+    columns = ["step_id", "parent_id", "role", "name", "text", "at", "kids"]
     sizes = children.groupBy("thread_id").agg(F.count("*").alias("nc")).join(parents.groupBy("thread_id").agg(F.count("*").alias("np")), "thread_id")
     sizes = sizes.select("thread_id", *(F.ceil(F.col(n) / block).cast("int").alias(n) for n in ("nc", "np")))
 
@@ -260,16 +290,16 @@ def _likeliest(children: DataFrame, parents: DataFrame, cuts: Cuts, block: int)
 
 
 def _places(own: DataFrame, cuts: Cuts) -> DataFrame:
-    """(thread_id, step_id, depth, position) of large threads, as rebuild_thread walks them.
+    """(thread_id, step_id, depth, channel, position) of large threads, as rebuild_thread walks them.
 
     `own`: thread_id, step_id, parent (the chosen one), at. Subtree sizes by doubling; a step's place
     is its parent's, one more, and the sizes of its earlier siblings, summed up the tree by doubling.
     What hangs from cycles comes last, by time.
     """
     placed = components(own.select(F.col("thread_id").alias("space"), F.col("step_id").alias("node"), "parent"), cuts)
-    placed = placed.select(F.col("space").alias("thread_id"), F.col("node").alias("step_id"), "top", "hops")
+    placed = placed.select(F.col("space").alias("thread_id"), F.col("node").alias("step_id"), "top", "hops", F.when(F.col("top"), F.col("label")).alias("channel"))
     state = cuts.cut(own.join(placed, ["thread_id", "step_id"]))
-    trees = state.where("top").select("thread_id", "step_id", "parent", "at", F.col("hops").cast("int").alias("depth"))
+    trees = state.where("top").select("thread_id", "step_id", "parent", "at", F.col("hops").cast("int").alias("depth"), "channel")
 
     def doubled(start: DataFrame, down: bool) -> DataFrame:
         """Sums of n over all descendants (down) or ancestors, the step itself included."""
@@ -290,14 +320,14 @@ def _places(own: DataFrame, cuts: Cuts) -> DataFrame:
     earlier = Window.partitionBy("thread_id", "parent").orderBy(*by_time).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.when(F.col("parent").isNull(), 0).otherwise(1)
     offsets = trees.join(sizes, ["thread_id", "step_id"]).select("thread_id", "step_id", F.col("parent").alias("jump"), offset.alias("n"))
-    tree = trees.select("thread_id", "step_id", "depth").join(doubled(offsets, False), ["thread_id", "step_id"])
+    tree = trees.select("thread_id", "step_id", "depth", "channel").join(doubled(offsets, False), ["thread_id", "step_id"])
     seen = trees.groupBy("thread_id").agg(F.count("*").alias("seen"))
     last = F.row_number().over(Window.partitionBy("thread_id").orderBy(*by_time)) - 1 + F.coalesce("seen", F.lit(0))
-    looped = state.where(~F.col("top")).join(seen, "thread_id", "left").select("thread_id", "step_id", F.lit(None).cast("int").alias("depth"), last.alias("n"))
-    return tree.unionByName(looped).select("thread_id", "step_id", "depth", F.col("n").cast("int").alias("position"))
+    looped = state.where(~F.col("top")).join(seen, "thread_id", "left").select("thread_id", "step_id", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("channel"), last.alias("n"))
+    return tree.unionByName(looped).select("thread_id", "step_id", "depth", "channel", F.col("n").cast("int").alias("position"))
 
 
-def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts, block: int = 20_000) -> DataFrame:
+def _by_doubling(steps: DataFrame, messages: bool, every: bool, cuts: Cuts, block: int = 20_000) -> DataFrame:
     """The same as `rebuild_thread` for threads too large for one task."""
     rest = [c for c in steps.columns if c not in ("thread_id", "step_id")]
     once = steps.groupBy("thread_id", "step_id").agg(F.min_by(F.struct(*rest), _standing_column()).alias("r")).select("thread_id", "step_id", "r.*")
@@ -306,7 +336,8 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts, block: int = 20_0
     first = once.where("parent_id is null").groupBy("thread_id").agg(F.min(F.struct(F.col("at").isNull(), F.coalesce("at", F.lit(0)), "step_id"))["step_id"].alias("first"))
     own = once.join(known, (F.col("thread_id") == F.col("t")) & (F.col("parent_id") == F.col("known")), "left").drop("t").join(first, "thread_id", "left")
     own = own.withColumn("inferred", F.col("parent_id").isNotNull() & F.col("known").isNull()).withColumn("surplus", F.col("parent_id").isNull() & (F.col("step_id") != F.col("first")))
-    own = cuts.cut(own.drop("first"))
+    kids = once.groupBy("thread_id", F.col("parent_id").alias("step_id")).agg(F.count("*").alias("kids"))
+    own = cuts.cut(own.drop("first").join(kids, ["thread_id", "step_id"], "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
     links = own.select(F.col("thread_id").alias("space"), F.col("step_id").alias("node"), F.col("known").alias("parent"))
     placed = cuts.cut(components(links, cuts))
     asks = (F.col("role") == "user") & ~F.col("blank")
@@ -330,7 +361,8 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts, block: int = 20_0
     reasons = reasons.select("thread_id", reason.alias("reason"))
     if not messages:
         return reasons
-    scored = own.join(_likeliest(own.where("inferred or surplus"), own, cuts, block), ["thread_id", "step_id"], "left")
+    asked = own.where("known is not null or inferred or surplus") if every else own.where("inferred or surplus")
+    scored = own.join(_likeliest(asked, own, cuts, block), ["thread_id", "step_id"], "left")
     scored = cuts.cut(scored.withColumn("parent", F.coalesce("known", F.when(F.col("inferred"), F.col("likely")))))
     places = _places(scored.select("thread_id", "step_id", "parent", "at"), cuts)
     return scored.join(places, ["thread_id", "step_id"]).join(reasons, "thread_id").select(
@@ -345,24 +377,26 @@ def _by_doubling(steps: DataFrame, messages: bool, cuts: Cuts, block: int = 20_0
         "text",
         "surplus",
         "likely",
+        "channel",
         "reason",
     )
 
 
-def rebuild(steps: DataFrame, messages: bool = False, max_thread: int = 50_000) -> DataFrame:
+def rebuild(steps: DataFrame, messages: bool = False, max_thread: int = 50_000, every: bool = False) -> DataFrame:
     """Threads with the reason to drop them (THREADS), or with `messages` their steps in order (STEPS).
 
     `steps`: the columns of `prepared`; others are ignored. A thread is `broken` if it has not exactly
     one step without parent, or a step whose parents do not lead to it; else `empty` without a
     non-blank user message; else `no_reply` if some non-blank user message has below it no non-blank,
     error-free assistant message before the next one. Threads of more than `max_thread` rows are
-    solved by joins, with the same rows, and never brought to one task.
+    solved by joins, with the same rows, and never brought to one task. With `every` the column
+    `likely` holds each step's likeliest parent as if its own link were not stated.
     """
     columns = ["thread_id", "step_id", "parent_id", "is_streaming", "is_error", "role", "name", "text", "blank", "at"]
     own = steps.select(*columns)
     cuts = Cuts(steps.sparkSession)
     large = cuts.cut(own.groupBy("thread_id").count().where(F.col("count") > max_thread).select("thread_id"))
     if not large.limit(1).count():
-        return _in_one_task(own, messages)
-    small = _in_one_task(own.join(large, "thread_id", "left_anti"), messages)
-    return small.unionByName(_by_doubling(own.join(large, "thread_id", "left_semi"), messages, cuts))
+        return _in_one_task(own, messages, every)
+    small = _in_one_task(own.join(large, "thread_id", "left_anti"), messages, every)
+    return small.unionByName(_by_doubling(own.join(large, "thread_id", "left_semi"), messages, every, cuts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.lookalikes import classes, fingerprints, lookalike_pairs, normalized
+from vellum.llm.lookalikes import classes, confusables, fingerprints, lookalike_pairs, normalized
 from vellum.session import Cuts
 from vellum.sources.tables import table
 
@@ -29,5 +29,10 @@ def p6_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return normalized(table(spark, folder, "structural_unit").select("unit_id", "text").distinct())
 
 
+def p6_confusables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of mixed scripts, and tokens spelled as a whole in letters of another script."""
+    return confusables(table(spark, folder, "structural_unit").select("unit_id", "text"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p6_normalized": p6_normalized}
+QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p6_normalized": p6_normalized, "p6_confusables": p6_confusables}

@@ -20,15 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of the same shape in Latin, Cyrillic and Greek; - where a script has none.
+# Letters of one script (such as the Latin alpha, script g and dotless i) are letters of their own.
 SHAPES = """
 A А Α|B В Β|C С -|E Е Ε|H Н Η|I І Ι|J Ј -|K К Κ|M М Μ|N - Ν|O О Ο|P Р Ρ|S Ѕ -|T Т Τ|X Х Χ|Y Ү Υ|Z - Ζ|Q Ԛ -|W Ԝ -
 a а α|c с ϲ|d ԁ -|e е -|h һ -|i і ι|j ј ϳ|l ӏ -|o о ο|p р ρ|q ԛ -|s ѕ -|u - υ|v ѵ ν|w ԝ -|x х -|y у -|k - κ
+V Ѵ -|- Г Γ|- П Π|- Ф Φ
+"""
+# Further scripts, each with its letters beside the Latin ones of the same shape.
+MORE = """
+ARMENIAN օo սu հh ոn զq ցg ՕO ՍU ԼL
+CHEROKEE ᎪA ᏴB ᏟC ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ
 """
 # Kinds of hyphen and minus, of apostrophe, of quotation mark.
 HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d\u2043"
 APOSTROPHES = "\u2018\u2019\u201a\u201b\u2032\u2035`\u00b4\u02b9\u02bc\u02bb\u02bd\u02c8\uff07\u2039\u203a"
 QUOTES = "\u201c\u201d\u201e\u201f\u2033\u2036\u00ab\u00bb\uff02"
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 REMEMBER = 300_000
 
 _RESPELL: dict[str, dict[str, str]] = {}
@@ -36,6 +43,10 @@ for _entry in re.split(r"[|\n]", SHAPES.strip()):
     _spelled = dict((s, c) for s, c in zip(SCRIPTS, _entry.split()) if c != "-")
     for _c in _spelled.values():
         _RESPELL[_c] = _spelled
+for _line in MORE.split("\n"):
+    for _pair in _line.split()[1:]:
+        _RESPELL.setdefault(_pair[1], {"LATIN": _pair[1]})[_line.split()[0]] = _pair[0]
+        _RESPELL[_pair[0]] = _RESPELL[_pair[1]]
 _RESPELL["У"] = {"CYRILLIC": "У", "LATIN": "Y", "GREEK": "Υ"}
 _FOLD = {ord(c): to for kinds, to in ((HYPHENS, "-"), (APOSTROPHES, "'"), (QUOTES, '"')) for c in kinds}
 _FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x180F), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -48,13 +59,17 @@ def _invisible(c: str) -> bool:
 
 @lru_cache(1 << 16)
 def _script(c: str) -> str | None:
-    """LATIN, CYRILLIC or GREEK; other letters give None, as do marks, digits and signs."""
+    """One of SCRIPTS; other letters give None, as do marks, digits and signs."""
     name = unicodedata.name(c, "").partition(" ")[0] if c.isalpha() else ""
     return name if name in SCRIPTS else None
 
 
 def _fitting(letters: list[str]) -> set[str] | None:
-    """The scripts in which all letters can be spelled; null if no letter belongs to one of the three."""
+    """The scripts in which all letters can be spelled; null if no letter belongs to one of SCRIPTS.
+
+    Where no script fits, it is the one of most letters that have one spelling only: the others are
+    then respelled beside them.
+    """
     fit: set[str] | None = None
     for c in letters:
         own = _script(c)
@@ -62,6 +77,9 @@ def _fitting(letters: list[str]) -> set[str] | None:
             continue
         possible = set(_RESPELL[c]) if c in _RESPELL else {own}
         fit = possible if fit is None else fit & possible
+    if fit is not None and not fit:
+        own = [_script(c) for c in letters if _script(c) and len(_RESPELL.get(c, ())) < 2]
+        fit = {max(SCRIPTS, key=own.count)} if own else fit
     return fit
 
 
@@ -178,6 +196,39 @@ def _clusters(token: str) -> Iterator[tuple[int, str]]:
             start = i
 
 
+def confusables(texts: DataFrame, key: str = "unit_id", text: str = "text") -> DataFrame:
+    """(key, token, kind, scripts, form): each text's tokens that mislead, once.
+
+    kind `mixed`: letters of several scripts; `whole`: letters of one script, but not of the text's
+    main one, in which all of them could be spelled. scripts are those of the letters as written;
+    form is the consistent spelling. Null and blank texts give no row.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normalizer = Normalizer()
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                tokens = [] if not t or t.isascii() else list(dict.fromkeys(t.split()))
+                if not tokens:
+                    continue
+                main = normalizer._main([normalizer._token(x) for x in t.split()])
+                for token in tokens:
+                    if token.isascii():
+                        continue
+                    plain, fit, _ = normalizer._token(token)
+                    written = sorted({s for c in plain if (s := _script(c))})
+                    if len(written) > 1 or (written and written[0] != main and main in fit):
+                        rows.append((i, token, "mixed" if len(written) > 1 else "whole", written, Normalizer._spell(plain, fit, main)))
+            if rows:
+                at, token, sort, scripts, form = zip(*rows)
+                columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(token), pa.array(sort), pa.array(scripts, pa.list_(pa.string())), pa.array(form)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "token", "kind", "scripts", "form"])
+
+    return texts.select(key, F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, token string, kind string, scripts array<string>, form string").distinct()
+
+
 def normalized(texts: DataFrame, key: str = "unit_id", text: str = "text") -> DataFrame:
     """(key, form, offsets) of each distinct row; a null text has null form and offsets, a blank one empty ones."""
     kind = texts.schema[key].dataType.simpleString()
@@ -215,18 +266,33 @@ def fingerprints(texts: DataFrame, key: str = "unit_id", text: str = "text") ->
     return texts.select(key, F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, k1 bigint, k2 bigint, raw bigint").distinct()
 
 
+def _many(prints: DataFrame, key: str) -> DataFrame:
+    """(k1, k2, members, variants): forms with more than one text."""
+    per = prints.groupBy("k1", "k2", "raw").agg(F.count_distinct(key).alias("n"))
+    whole = per.groupBy("k1", "k2").agg(F.sum("n").alias("members"), F.count("*").alias("variants"))
+    return whole.where("variants > 1")
+
+
 def classes(prints: DataFrame, key: str = "unit_id") -> DataFrame:
-    """Membership: (key, class_id, variant) of the rows whose form has more than one text."""
-    many = prints.groupBy("k1", "k2").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("k1", "k2")
-    own = prints.join(many, ["k1", "k2"], "left_semi")
-    return own.select(key, F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("class_id"), F.hex("raw").alias("variant"))
-
-
-def lookalike_pairs(prints: DataFrame, key: str = "unit_id") -> DataFrame:
-    """(key_a, key_b), a < b: rows of one form whose texts differ. Exact copies are no pair."""
-    members = prints.withColumn("class", F.struct("k1", "k2"))
-    many = prints.groupBy("k1", "k2").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("k1", "k2")
-    own = members.drop("class").join(many, ["k1", "k2"], "left_semi")
-    a = own.select("k1", "k2", F.col(key).alias(f"{key}_a"), F.col("raw").alias("raw_a"))
-    b = own.select("k1", "k2", F.col(key).alias(f"{key}_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["k1", "k2"]).where((F.col("raw_a") != F.col("raw_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))).select(f"{key}_a", f"{key}_b").distinct()
+    """Membership: (key, class_id, variant, members, links) of the rows whose form has more than one
+    text; links are the members of the class with another text."""
+    per = prints.groupBy("k1", "k2", "raw").agg(F.count_distinct(key).alias("alike"))
+    own = prints.join(_many(prints, key), ["k1", "k2"]).join(per, ["k1", "k2", "raw"])
+    return own.select(key, F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("class_id"), F.hex("raw").alias("variant"), "members", (F.col("members") - F.col("alike")).alias("links"))
+
+
+#: Members of a class that one side of a join task holds.
+CLASS_BLOCK = 2_000
+
+
+def lookalike_pairs(prints: DataFrame, key: str = "unit_id", block: int = CLASS_BLOCK) -> DataFrame:
+    """(key_a, key_b), a < b: rows of one form whose texts differ. Exact copies are no pair.
+
+    A class above `block` members is cut into blocks by a hash of the id; one side goes to its own
+    block, the other to each, so that no task holds more than a block of it on one side.
+    """
+    places = _many(prints, key).select("k1", "k2", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    own = prints.join(places, ["k1", "k2"])
+    a = own.select("k1", "k2", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("place"), F.col(key).alias(f"{key}_a"), F.col("raw").alias("raw_a"))
+    b = own.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("place"), F.col(key).alias(f"{key}_b"), F.col("raw").alias("raw_b"))
+    return a.join(b, ["k1", "k2", "place"]).where((F.col("raw_a") != F.col("raw_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))).select(f"{key}_a", f"{key}_b").distinct()

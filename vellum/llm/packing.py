@@ -4,8 +4,9 @@ Items are spread over blocks of bounded size by a hash of their id; each block i
 task, largest items first. A block's open bins are ordered by residual. Every bin carries a bitmap
 of its sources and one of its duplicate clusters; the search starts at the tightest residual that
 is large enough and goes on to the next until a bin without conflict is found. Two items of one
-duplicate cluster never share a bin; two items of one source do only where all other open bins with
-room are ruled out, so that a frequent source costs no space.
+duplicate cluster never share a bin. Two items of one source do not either while the bins in use are
+below the least possible number and SLACK: an item without a compatible bin opens a new one. Beyond
+it, a source may repeat in a bin, so that a frequent source costs no more space than SLACK.
 """
 
 from __future__ import annotations
@@ -22,17 +23,20 @@ from vellum.functions.arrow import whole_groups
 CAPACITY = 2_048
 #: Items per block, on average.
 BLOCK = 20_000
+#: Share of bins above the least possible number that are opened to keep sources apart.
+SLACK = 0.01
 SCHEMA = "doc_id bigint, piece_no int, first int, tokens int, container_id bigint"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("first", pa.int32()), ("tokens", pa.int32()), ("container_id", pa.int64())])
 
 
-def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY) -> list[int]:
+def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
     """The bin of each item, -1 for items of size 0. Sizes are at most the capacity.
 
-    First pass: no bin gets two items of one source or of one cluster. Where the sources of the
-    open bins rule out all that have room, the second search asks for the clusters only, so that a
-    source with a large share of the items costs no space.
+    First search: no bin gets two items of one source or of one cluster. Where the sources rule out
+    all open bins with room, a new bin is opened; once the bins in use reach their least possible
+    number and `slack`, a second search asks for the clusters only.
     """
+    most = int(-(-sum(s for s in sizes if s > 0) // capacity) * (1 + slack))
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
     times: dict = defaultdict(int)
     for c in clusters:
@@ -77,6 +81,8 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACI
         source, cluster = source_bit[sources[i]], cluster_bit.get(clusters[i], 0)
         chosen, room = -1, 0
         for strict in (True, False):
+            if not strict and len(bin_sources) < most:
+                break
             mask = (rooms & ~full_of[source] if strict else rooms) >> size
             while mask:
                 low = mask & -mask

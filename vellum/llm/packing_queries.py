@@ -49,5 +49,12 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * CAPACITY)).alias("used"))
 
 
+def p8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, those that hold a source twice, and those that hold more than their capacity."""
+    filled = p8_containers(spark, folder).where("container_id is not null").join(table(spark, folder, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    per = filled.groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"), F.count_distinct("source").alias("sources"))
+    return per.agg(F.count("*").alias("containers"), F.count_if(F.col("items") > F.col("sources")).alias("repeating"), F.count_if(F.col("tokens") > CAPACITY).alias("over"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_repeats": p8_repeats}

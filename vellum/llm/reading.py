@@ -62,13 +62,43 @@ def language_code(lang: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def document_frequencies(documents: DataFrame) -> DataFrame:
-    """(lang, word, n): documents of a language that have a word, over all documents; word '' counts
-    the documents. Each partition adds up its own counts before anything is shuffled. Documents
-    without a usable language code count in no list; blank texts count nowhere."""
+def _telling(lists: dict[str, dict[str, float]]) -> dict[str, list[tuple[str, float]]]:
+    """Word to the languages that it tells, with its share in each."""
+    telling: dict[str, list[tuple[str, float]]] = {}
+    for lang in sorted(lists):
+        for word, share in lists[lang].items():
+            if share >= TELLING:
+                telling.setdefault(word, []).append((lang, share))
+    return telling
+
+
+def _told(counts: Counter, telling: dict[str, list[tuple[str, float]]], code: str) -> str:
+    """The language whose telling words a text has most of; the stated code where it has none, or of equals."""
+    votes: dict[str, float] = {}
+    for word in counts:
+        for lang, share in telling.get(word, ()):
+            votes[lang] = votes.get(lang, 0.0) + share
+    return max(votes, key=lambda k: (votes[k], k == code, k)) if votes else code
+
+
+#: Language codes that `language_code` can use.
+USABLE = r"(?sU)\A\s*[a-zA-Z]{2}(?:[^a-zA-Z].*)?\s*\z"
+
+
+def document_frequencies(documents: DataFrame, lists: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(lang, word, n): documents of a language that have a word; word '' counts the documents. Each
+    partition adds up its own counts before anything is shuffled. Blank texts count nowhere.
+
+    Without `lists` these are the documents with a usable language code, with them all others, in the
+    language that their words tell by the lists (none told: not counted). The sum is over all documents.
+    """
+    if lists is not None:
+        documents = documents.where(~F.coalesce("lang", F.lit("")).rlike(USABLE))
+    shared = documents.sparkSession.sparkContext.broadcast(_telling(lists or {}))
+    told = lists is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = _Words(), Counter()
+        words, counts, telling = _Words(), Counter(), shared.value
 
         def flush() -> pa.RecordBatch:
             keys = list(counts)
@@ -77,10 +107,13 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 code = language_code(lang)
-                if not code or not text or text.isspace():
+                if bool(code) == told or not text or text.isspace():
                     continue
-                counts[code, ""] += 1
-                counts.update((code, w) for w in words.counts(text))
+                found = words.counts(text)
+                code = code or _told(found, telling, "")
+                if code:
+                    counts[code, ""] += 1
+                    counts.update((code, w) for w in found)
             if len(counts) > 500_000:
                 yield flush()
                 counts.clear()
@@ -112,21 +145,12 @@ def features(documents: DataFrame, lists: dict[str, dict[str, float]]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, words = shared.value, _Words()
-        telling: dict[str, list[tuple[str, float]]] = {}
-        for lang in sorted(lists):
-            for word, share in lists[lang].items():
-                if share >= TELLING:
-                    telling.setdefault(word, []).append((lang, share))
+        telling = _telling(lists)
         for batch in batches:
             langs, sizes, shares, lengths = [], [], [], []
             for stated, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts = words.counts(text) if text else Counter()
-                votes: dict[str, float] = {}
-                for word in counts:
-                    for lang, share in telling.get(word, ()):
-                        votes[lang] = votes.get(lang, 0.0) + share
-                code = language_code(stated)
-                lang = max(votes, key=lambda k: (votes[k], k == code, k)) if votes else code
+                lang = _told(counts, telling, language_code(stated))
                 familiar, below, total = lists.get(lang, {}), [0] * (len(SHARES) + 1), 0
                 for word, n in counts.items():
                     below[bisect_right(SHARES, familiar.get(word, 0.0))] += n

@@ -14,7 +14,9 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Reading level of each document."""
     documents = table(spark, folder, "documents")
     cuts = Cuts(spark)
-    lists = familiar_words(cuts.cut(document_frequencies(documents)))
+    stated = cuts.cut(document_frequencies(documents))
+    told = document_frequencies(documents, familiar_words(stated))
+    lists = familiar_words(cuts.cut(stated.unionByName(told).groupBy("lang", "word").agg(F.sum("n").alias("n"))))
     found = cuts.cut(features(documents, lists))
     return reading_levels(found, table(spark, folder, "reading_label"))
 
