@@ -19,6 +19,17 @@ def test_fold(raw, folded):
     assert T.fold_text(raw)[0] == folded
 
 
+def test_offsets_lead_to_the_characters():
+    text = " “ﬁne” –  wait… "
+    folded, offsets = T.fold_text(text)
+    assert folded == '"fine" - wait...' and offsets == [1, 2, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 14, 14]
+
+
+def test_segments_lose_boundary_punctuation(spark):
+    row = spark.createDataFrame([("the documentation ..., make it available ... .",)], "q string").select(T.segments(F.col("q"))).first()
+    assert row[0] == ["the documentation", "make it available"]
+
+
 def test_columns(spark):
     row = spark.createDataFrame([("Compare Articles 53 and 54a with article 6; see commitment 1.2 and Sub-Measure 3", "[...] one [...] two ...", "\"'(quote).\" ")], "q string, e string, b string")
     got = row.select(
@@ -30,7 +41,7 @@ def test_columns(spark):
         T.estimate_tokens(F.lit(None).cast("string")).alias("none"),
     ).first()
     assert got["articles"] == ["53", "54a", "6"] and got["parts"] == ["Commitment 1.2", "Sub-measure 3"]
-    assert got["segments"] == ["one", "two ..."] and got["trimmed"] == "quote" and (got["tokens"], got["none"]) == (42, 32)
+    assert got["segments"] == ["one", "two"] and got["trimmed"] == "quote" and (got["tokens"], got["none"]) == (42, 32)
 
 
 def test_headings_and_links(spark):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import hierarchy, ingest, monitor, ranking, retrieval
+from vellum.plans import hierarchy, ingest, labels, monitor, ranking, retrieval
 
-_MODULES = [hierarchy, ranking, retrieval, monitor, ingest]
+_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels]
 
 
 def queries() -> dict:

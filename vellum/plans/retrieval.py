@@ -46,10 +46,10 @@ def dense_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fulltext_and_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct questions with at least two search words against all units."""
+    """Distinct questions with search words against all units."""
     asked = table(spark, folder, "query_log").select(F.col("question").alias("query")).where("query is not null").distinct()
     terms = F.array_except(T.words(F.col("query")), F.array(*map(F.lit, STOP_WORDS)))
-    found = R.match_all(_units(spark, folder), asked.select("query", terms.alias("terms")).where(F.size("terms") >= 2))
+    found = R.match_all(_units(spark, folder), asked.select("query", terms.alias("terms")))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -149,7 +149,7 @@ def deeplinks(spark: SparkSession, folder: str) -> DataFrame:
 
 _U = "WITH u AS (SELECT DISTINCT ON (unit_id) * REPLACE (nullif(parent_id, 0) AS parent_id) FROM structural_unit ORDER BY unit_id)"
 _A = _U + ", a AS (SELECT u.*, v.source_id, s.source_key, s.title, lower(s.authority) AS authority FROM u JOIN document_version v USING (document_version_id) JOIN legal_source s USING (source_id) WHERE v.status = 'active')"
-_W = "list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
+_W = "list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''))"
 _ART = "nullif(regexp_extract(unit_path, '(?:^|/)ART_([^/]+)', 1), '')"
 SQL = {
     "active_chunks": _A + " SELECT unit_id, document_version_id, source_key, authority, unit_type, unit_path, ordinal FROM a",
@@ -161,7 +161,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance
     "fulltext_and_match": _U
     + f""", q AS (SELECT DISTINCT question AS query, list_filter({_W.format('question')}, lambda w: NOT list_contains({STOP_WORDS}, w)) AS terms FROM query_log WHERE question IS NOT NULL),
 w AS (SELECT unit_id, {_W.format('text')} AS words FROM u)
-SELECT query, unit_id, round(len(terms)::DOUBLE / len(words), 6) AS score FROM q, w WHERE len(terms) >= 2 AND list_has_all(words, terms)""",
+SELECT query, unit_id, round(len(terms)::DOUBLE / len(words), 6) AS score FROM q, w WHERE len(terms) >= 1 AND list_has_all(words, terms)""",
     "structural_lookup": _A
     + f""" SELECT unit_id, unit_type, unit_number, unit_path FROM a WHERE unit_type = 'article' AND unit_number IN ('12', '19', '33') OR unit_type = 'annex' AND upper(unit_number) IN ('IV', 'VI')
 OR unit_type = 'paragraph' AND {_ART} IN ('12', '19', '33') ORDER BY ordinal, unit_id LIMIT 40""",
@@ -172,7 +172,7 @@ SELECT question, unnest(regexp_extract_all(g, '\d+[a-z]?')) AS article FROM g"""
 p AS (SELECT doc_id, regexp_extract(m, '^(\S+)', 1) AS k, regexp_extract(m, '(\S+)$', 1) AS n FROM m)
 SELECT doc_id, upper(k[1]) || lower(k[2:]) || ' ' || n AS part, count(*) AS n FROM p GROUP BY ALL""",
     "corrected_intent": r"""WITH l AS (SELECT DISTINCT query_id, lower(trim(intent)) AS intent, question FROM query_log)
-SELECT query_id, intent, 'lookup' AS corrected FROM l WHERE intent IN ('greeting', 'out_of_scope') AND regexp_matches(question, '\barticle\s+\d|\bannex\s+[IVXLC]+\b|\brecital\s+\d|\bthis regulation\b', 'i')""",
+SELECT query_id, intent, 'lookup' AS corrected FROM l WHERE intent IN ('greeting', 'out_of_scope') AND regexp_matches(question, '\bai act\b|\bartificial intelligence act\b|\b2024/1689\b|\bthis regulation\b|\barticle\s+\d|\bannex\s+[IVXLC]+\b|\brecital\s+\d', 'i')""",
     "child_scan": _U + " SELECT parent_id, unit_id, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal, unit_id) AS position FROM u WHERE parent_id IS NOT NULL",
     "ancestor_prefix_join": _U + " SELECT x.document_version_id, x.unit_id, y.unit_id AS ancestor FROM u x JOIN u y ON x.document_version_id = y.document_version_id AND starts_with(x.unit_path, y.unit_path || '/')",
     "subtree_sizes": _U + " SELECT y.unit_id AS ancestor, count(*) AS below FROM u x JOIN u y ON x.document_version_id = y.document_version_id AND starts_with(x.unit_path, y.unit_path || '/') GROUP BY 1",
