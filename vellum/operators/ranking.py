@@ -21,7 +21,7 @@ def tier(authority: Column) -> Column:
 
 
 def fuse(hits: DataFrame, by: list[str], item: str, weights: dict[str, float] | None = None) -> DataFrame:
-    """Reciprocal rank fusion: (*by, item, score, first_leg, first_rank, legs, place).
+    """Reciprocal rank fusion: (*by, item, score, first_leg, first_rank, legs, ranks, place); ranks maps legs to ranks.
 
     `hits`: the columns by, item, leg, leg_rank. An item's rank in a leg is its best one, so that
     repeated rows change nothing. Equal scores keep the order of first appearance: leg, rank, then
@@ -36,9 +36,10 @@ def fuse(hits: DataFrame, by: list[str], item: str, weights: dict[str, float] |
         F.sum(weight / (RRF_K + F.col("leg_rank"))).alias("score"),
         F.min(F.struct("leg", "leg_rank")).alias("first"),
         F.count("*").alias("legs"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("leg", "leg_rank")))).alias("ranks"),
     )
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 12)), "first", item)
-    return scored.select(*by, item, "score", F.col("first.leg").alias("first_leg"), F.col("first.leg_rank").alias("first_rank"), "legs", F.row_number().over(order).cast("bigint").alias("place"))
+    return scored.select(*by, item, "score", F.col("first.leg").alias("first_leg"), F.col("first.leg_rank").alias("first_rank"), "legs", "ranks", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:

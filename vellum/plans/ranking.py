@@ -30,7 +30,7 @@ def _pools(spark: SparkSession, folder: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     fused = R.fuse(table(spark, folder, "candidate"), ["query_id"], "chunk_id", {"structural": 2.0})
-    return fused.withColumn("score", F.round("score", 9))
+    return fused.withColumn("score", F.round("score", 9)).drop("ranks")
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import hierarchy, ingest, labels, monitor, ranking, retrieval
+from vellum.plans import hierarchy, ingest, labels, monitor, ranking, retrieval, search
 
-_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels]
+_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels, search]
 
 
 def queries() -> dict:

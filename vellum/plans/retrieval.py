@@ -15,12 +15,12 @@ def _units(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "structural_unit").dropDuplicates(["unit_id"]).withColumn("parent_id", F.nullif("parent_id", F.lit(0)))
 
 
-def _active(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
+def active(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
     return R.active_units(table(spark, folder, "structural_unit"), table(spark, folder, "document_version"), table(spark, folder, "legal_source"), keys)
 
 
 def active_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _active(spark, folder).select("unit_id", "document_version_id", "source_key", "authority", "unit_type", "unit_path", "ordinal")
+    return active(spark, folder).select("unit_id", "document_version_id", "source_key", "authority", "unit_type", "unit_path", "ordinal")
 
 
 # Words that are not searched.
@@ -29,7 +29,7 @@ KEYS = ["karmholt-ranking-ordinance", "rovano-tariffs-guide"]
 
 
 def source_filtered_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _active(spark, folder, KEYS).select("unit_id", "source_key")
+    return active(spark, folder, KEYS).select("unit_id", "source_key")
 
 
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +54,7 @@ def fulltext_and_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def structural_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return R.structural_lookup(_active(spark, folder), ["12", "19", "33"], ["iv", "VI"]).select("unit_id", "unit_type", "unit_number", "unit_path")
+    return R.structural_lookup(active(spark, folder), ["12", "19", "33"], ["iv", "VI"]).select("unit_id", "unit_type", "unit_number", "unit_path")
 
 
 def named_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +136,7 @@ def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_labels(spark: SparkSession, folder: str) -> DataFrame:
-    active = _active(spark, folder)
+    active = active(spark, folder)
     label = T.citation_label(F.col("unit_type"), F.col("unit_number"), F.col("unit_path"), F.col("authority"), F.col("title"))
     return active.select("unit_id", label.alias("label"))
 
