@@ -68,18 +68,19 @@ def keep_with_law(ranked: DataFrame, by: list[str], keep: int = KEEP) -> DataFra
     return marked.where(kept).withColumn("promoted", F.coalesce(F.col("place") > keep, F.lit(False))).drop("has", "next")
 
 
-def pack_budget(items: DataFrame, by: list[str], order: str, cost: str, budget: int = EVIDENCE_BUDGET) -> DataFrame:
+def pack_budget(items: DataFrame, by: list[str], order: str, cost: str, budget: int | str = EVIDENCE_BUDGET) -> DataFrame:
     """Greedy packing in order: an item that would overflow is skipped and later ones still tried;
     the first is kept even if it is over. Pools have to be bounded, as those of `top` are.
 
-    Returns the kept rows with `spent`, the cost so far. A null cost counts 0.
+    `budget` may name a column with each pool's own. Returns the kept rows with `spent`, the cost so
+    far. A null cost counts 0.
     """
     rest = [c for c in items.columns if c not in by]
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(cost).cast("bigint"), F.lit(0)).alias("c"), F.struct(*rest).alias("r"))))
-    pools = items.groupBy(*by).agg(rows.alias("rows"))
+    pools = items.groupBy(*by).agg(rows.alias("rows"), F.max(F.col(budget) if isinstance(budget, str) else F.lit(budget)).alias("_most"))
     taken = F.expr(
-        f"""aggregate(rows, cast(array() as array<struct<at:int,spent:bigint>>), (kept, x) -> CASE
-          WHEN size(kept) > 0 AND element_at(kept, -1).spent + x.c > {budget} THEN kept
+        """aggregate(rows, cast(array() as array<struct<at:int,spent:bigint>>), (kept, x) -> CASE
+          WHEN size(kept) > 0 AND element_at(kept, -1).spent + x.c > _most THEN kept
           ELSE concat(kept, array(struct(cast(array_position(rows, x) as int) as at, coalesce(try_element_at(kept, -1).spent, 0L) + x.c as spent))) END)"""
     )
     return pools.withColumn("k", F.explode(taken)).withColumn("row", F.expr("element_at(rows, k.at).r")).select(*by, "row.*", F.col("k.spent").alias("spent"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.labels import closeness
 
 # Shortest quote in characters and words; coverage for the two verdicts.
 MIN_CHARS, MIN_WORDS = 24, 4
@@ -20,7 +21,8 @@ def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     method: `exact`, `elided`, or the reason for rejection: `unknown` unit, too `short`, `not_found`.
     `shown` is the original text of the span. A null or blank quote is too short.
     """
-    folded = evidence.dropDuplicates(["unit_id"]).select("unit_id", "text", T.normalize(F.col("text")).alias("f"))
+    quoted = evidence.join(quotes.select("unit_id").distinct(), "unit_id", "left_semi")  # only these are folded
+    folded = quoted.dropDuplicates(["unit_id"]).select("unit_id", "text", T.normalize(F.col("text")).alias("f"))
     needle = T.trim_boundary(T.normalize_text(F.coalesce("quote", F.lit(""))))
     asked = quotes.select("quote_id", "unit_id", needle.alias("needle"))
     pairs = asked.join(folded, "unit_id", "left").withColumn("parts", T.segments(F.col("needle")))
@@ -40,6 +42,17 @@ def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     return found.select("quote_id", "unit_id", "method", start.alias("start"), end.alias("end"), T.original_slice(F.col("text"), F.col("f.offsets"), start, end).alias("shown"))
 
 
+def diagnose(checked: DataFrame, quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(quote_id, unit_id, closeness) of quotes that were not found: how near they come to their unit, 0 to 100.
+
+    It accepts nothing. `checked`: from verify_quotes; `quotes` and `evidence` as there.
+    """
+    lost = checked.where("method = 'not_found'").select("quote_id", "unit_id").join(quotes, ["quote_id", "unit_id"])
+    texts = evidence.join(lost.select("unit_id").distinct(), "unit_id", "left_semi").dropDuplicates(["unit_id"])
+    near = closeness(T.normalize_text(F.col("quote")), T.normalize_text(F.col("text")))
+    return lost.join(texts, "unit_id").select("quote_id", "unit_id", near.alias("closeness"))
+
+
 def verdict(coverage: Column, claims: Column) -> Column:
     """abstained without claims or below the lower bound, else partial or answered."""
     return F.when(F.coalesce(claims, F.lit(0)) == 0, "abstained").when(coverage >= ANSWERED, "answered").when(coverage >= PARTIAL, "partial").otherwise("abstained")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import hierarchy, ingest, labels, monitor, ranking, retrieval, search
+from vellum.plans import graph, hierarchy, ingest, labels, monitor, ranking, retrieval, runs, search
 
-_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels, search]
+_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels, search, runs, graph]
 
 
 def queries() -> dict:
