@@ -79,20 +79,26 @@ def score_cases(results: DataFrame) -> DataFrame:
     """(id, recall, right, leaked) of each case against its expectation.
 
     `results`: id, expected array, cited array of labels (`Article 6`, `Paragraph 6(2)`, `Annex III`),
-    should_abstain, verdict, blob. Recall is 1 where nothing is expected.
+    should_abstain, verdict, blob, and where there are any expected_annexes (array of numbers) and
+    expect_criteria: then only assessments leak. Recall is 1 where nothing is expected.
     """
     label = lambda c: F.coalesce(
         F.nullif(F.regexp_extract(c, r"^(?:Article|Paragraph)\s+(\d+[a-z]?)", 1), F.lit("")), F.nullif(F.concat(F.lit("anx:"), F.regexp_extract(c, r"^Annex\s+([IVXLC]+)", 1)), F.lit("anx:"))
     )
     cited = F.array_distinct(F.filter(F.transform("cited", label), lambda x: x.isNotNull()))
-    found, expected = F.size(F.array_intersect("expected", cited)), F.size(F.array_distinct("expected"))
+    wanted = F.array_distinct("expected")
+    if "expected_annexes" in results.columns:
+        wanted = F.array_union(wanted, F.transform(F.coalesce("expected_annexes", F.array().cast("array<string>")), lambda a: F.concat(F.lit("anx:"), a)))
+    found, expected = F.size(F.array_intersect(wanted, cited)), F.size(wanted)
     abstained = F.col("verdict") == "abstained"
     blob = F.lower(F.coalesce("blob", F.lit("")))
     leak = F.exists(F.array(*map(F.lit, VERDICTS)), lambda phrase: F.contains(blob, phrase))
+    if "expect_criteria" in results.columns:
+        leak = leak & F.coalesce("expect_criteria", F.lit(False))
     return results.select("id", F.when(expected == 0, F.lit(1.0)).otherwise(found / expected).alias("recall"), (abstained == F.col("should_abstain")).alias("right"), leak.alias("leaked"))
 
 
-def within_budget(costs: DataFrame, order: str, cost: str, budget: int) -> DataFrame:
-    """Cases that start before the budget is spent: those whose predecessors cost less than it. A case list is small by nature."""
-    before = F.coalesce(F.sum(cost).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def within_budget(costs: DataFrame, order: str, cost: str, budget: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cases that start before the budget is spent: those whose predecessors cost less than it, per run where `by` names runs. A case list is small by nature."""
+    before = F.coalesce(F.sum(cost).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return costs.withColumn("before", before).where(F.col("before") < budget)

@@ -335,11 +335,12 @@ def _by_doubling(nodes: DataFrame, cuts: Cuts, paths: bool) -> DataFrame:
     cut_ring = ~F.col("top") & (F.col("node") == F.col("label"))  # without this link a ring is a chain below its smallest id
     start = F.when(~cut_ring, F.col("parent")).alias("jump")
     way, line = (F.col("segment"), F.array("node")) if paths else (F.lit(None).cast("string"), F.lit(None).cast("array<bigint>"))
-    known = cuts.cut(nodes.select("space", "node", "parent", start, "label", "dangling", "hops", way.alias("way"), line.alias("line"), F.lit(1).cast("bigint").alias("sum"), "top"))
+    rounds = Cuts(nodes.sparkSession, keep=1)  # a round needs only the one before
+    known = rounds.cut(nodes.select("space", "node", "parent", start, "label", "dangling", "hops", way.alias("way"), line.alias("line"), F.lit(1).cast("bigint").alias("sum"), "top"))
     while known.where(F.col("jump").isNotNull()).limit(1).count():
         gained = known.where(F.col("jump").isNotNull()).groupBy(F.col("space").alias("s2"), F.col("jump").alias("n2")).agg(F.sum("sum").alias("more"))
         to = known.select(F.col("space").alias("s"), F.col("node").alias("n"), F.col("jump").alias("j"), F.col("way").alias("w"), F.col("line").alias("l"))
-        known = cuts.cut(
+        known = rounds.cut(
             known.join(to, (F.col("space") == F.col("s")) & (F.col("jump") == F.col("n")), "left")
             .join(gained, (F.col("space") == F.col("s2")) & (F.col("node") == F.col("n2")), "left")
             .select(

@@ -83,8 +83,10 @@ def evidence_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parsed_headings(spark: SparkSession, folder: str) -> DataFrame:
-    """Headed units that the parser of acts finds in each document, by type."""
-    found = P.parse(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", "act").where("unit_type <> 'paragraph'")
+    """Headed units that the parser of acts finds in documents made of one stored unit each, under its heading line."""
+    word = F.when(F.col("unit_type") == "article", "Article").otherwise(F.upper("unit_type"))
+    made = table(spark, folder, "structural_unit").dropDuplicates(["unit_id"]).select(F.col("unit_id").alias("doc_id"), F.concat(F.concat_ws(" ", word, "unit_number", "heading"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = P.parse(made, "doc_id", "text", "act").where("unit_type <> 'paragraph'")
     return found.groupBy("doc_id", "unit_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("unit_number"))), ",").alias("numbers"))
 
 
@@ -160,7 +162,7 @@ SELECT question_id, unit_id, authority, score, place, 'E' || place AS label, cos
 c AS (SELECT *, CASE WHEN authority <> 'law' THEN title || coalesce(' ' || nullif(unit_number, ''), '') WHEN unit_type IN ('article', 'annex', 'recital', 'chapter', 'section', 'paragraph') AND nullif(unit_number, '') IS NOT NULL THEN upper(unit_type[1]) || unit_type[2:] || ' ' || unit_number ELSE unit_path END AS label,
   concat_ws('; ', CASE authority WHEN 'law' THEN 'BINDING LAW' WHEN 'guidance' THEN 'COMMISSION GUIDANCE (not binding)' WHEN 'code' THEN 'VOLUNTARY CODE OF PRACTICE (not binding)' END, version_label) AS src FROM u JOIN v USING (document_version_id))
 SELECT unit_id, md5('[E' || unit_id || '] ' || label || coalesce(' - ' || nullif(heading, ''), '') || CASE WHEN src <> '' THEN '  (' || src || ')' ELSE '' END || coalesce(chr(10) || 'Where it sits: ' || regexp_replace(nullif(context, ''), '^(Section \d+): [^›|]*', '\1 '), '') || chr(10) || coalesce(text, '')) AS block FROM c""",
-    "parsed_headings": r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n|\x0c')) AS raw FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, regexp_replace(raw, '^[\s\x0B\x1c-\x1f\x{85}\p{Z}]+|[\s\x0B\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS line FROM s),
+    "parsed_headings": r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(concat_ws(' ', CASE WHEN unit_type = 'article' THEN 'Article' ELSE upper(unit_type) END, unit_number, heading) || chr(10) || coalesce(text, ''), '\r?\n|\x0c')) AS raw FROM (SELECT DISTINCT ON (unit_id) unit_id AS doc_id, * FROM structural_unit ORDER BY unit_id)), n AS (SELECT doc_id, regexp_replace(raw, '^[\s\x0B\x1c-\x1f\x{85}\p{Z}]+|[\s\x0B\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS line FROM s),
 k AS (SELECT doc_id, regexp_replace(regexp_replace(line, '[▲▼►◄]', '', 'g'), '^[\s\x0B\x1c-\x1f\x{85}\p{Z}]+|[\s\x0B\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS line FROM n WHERE NOT regexp_matches(line, '^[▲▼►◄]\s*[BM]\d*\s*$') AND NOT regexp_matches(line, '^\S+\s+—\s+[A-Z]{2}\s+—\s+[\d.]+\s+—\s+[\d.]+\s+—\s+\d+\s*$') AND NOT regexp_matches(line, '^(OJ\s+[LC],|ELI:|\d+/\d+\s+ELI:|https?://data\.europa\.eu/)')),
 h AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^Article\s+\d+[a-z]?\b') THEN 'article' WHEN regexp_matches(line, '^CHAPTER\s+[IVXLC]+\b') THEN 'chapter' WHEN regexp_matches(line, '^ANNEX\s+([IVXLC]+|\d+)\b') THEN 'annex' WHEN regexp_matches(line, '^SECTION\s+([IVXLC]+|\d+)\b') THEN 'section' END AS unit_type,
   regexp_extract(line, '^\w+\s+(\d+[a-z]?|[IVXLC]+)', 1) AS number FROM k)

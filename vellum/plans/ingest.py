@@ -80,7 +80,7 @@ def fitted_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def usage_by_model(spark: SparkSession, folder: str) -> DataFrame:
     log = table(spark, folder, "query_log").dropDuplicates(["query_id"]).where("model is not null")
-    usage = log.select(F.get("document_version_ids", F.lit(0)).alias("question_id"), "model", F.col("quotes_total").alias("input"), F.col("quotes_dropped").alias("output"), F.lit(1).alias("calls"))
+    usage = log.select(F.col("query_id").alias("question_id"), "model", F.col("quotes_total").alias("input"), F.col("quotes_dropped").alias("output"), F.lit(1).alias("calls"))
     return A.merge_usage(usage)
 
 
@@ -96,7 +96,7 @@ SQL = {
     "ingest_plan": f"WITH {_V}, f AS (SELECT source_id, arg_max(content_sha256, document_version_id) AS sha FROM v GROUP BY 1), c AS (SELECT document_version_id, count(DISTINCT unit_id) AS n FROM structural_unit GROUP BY 1), a AS (SELECT source_id, content_sha256 AS old, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (document_version_id) WHERE status = 'active') SELECT source_id, CASE WHEN old = sha AND n > 0 THEN 'up_to_date' ELSE 'ingest' END AS action FROM f LEFT JOIN a USING (source_id)",
     "pending_versions": f"WITH {_V} SELECT source_id, max(document_version_id) AS document_version_id, arg_max(version_label, document_version_id) AS version_label FROM v WHERE status IN ('discovered', 'ingesting') GROUP BY 1",
     "healthz": "SELECT (SELECT count(*) FROM legal_source) AS sources, (SELECT count(DISTINCT unit_id) FROM structural_unit) AS units",
-    "usage_by_model": "SELECT document_version_ids[1] AS question_id, model, CAST(sum(coalesce(quotes_total, 0)) AS BIGINT) AS input, CAST(sum(coalesce(quotes_dropped, 0)) AS BIGINT) AS output, count(*) AS calls FROM (SELECT DISTINCT ON (query_id) * FROM query_log ORDER BY query_id) WHERE model IS NOT NULL GROUP BY ALL",
+    "usage_by_model": "SELECT query_id AS question_id, model, CAST(sum(coalesce(quotes_total, 0)) AS BIGINT) AS input, CAST(sum(coalesce(quotes_dropped, 0)) AS BIGINT) AS output, count(*) AS calls FROM (SELECT DISTINCT ON (query_id) * FROM query_log ORDER BY query_id) WHERE model IS NOT NULL GROUP BY ALL",
     "breadcrumb": _U
     + """, p AS (SELECT x.unit_id, y.unit_id AS ancestor, length(y.unit_path) AS depth FROM u x JOIN u y ON x.document_version_id = y.document_version_id AND starts_with(x.unit_path, y.unit_path || '/') UNION ALL SELECT unit_id, unit_id, 1000000 FROM u),
 n AS (SELECT p.unit_id, string_agg(upper(a.unit_type[1]) || a.unit_type[2:] || ' ' || a.unit_number, ', ' ORDER BY depth, ancestor) FILTER (a.unit_number IS NOT NULL AND a.unit_type IN ('annex', 'chapter', 'section', 'article', 'recital', 'paragraph')) AS labels,

@@ -46,7 +46,7 @@ def intent_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_pivot(spark: SparkSession, folder: str) -> DataFrame:
     log = _log(spark, folder).withColumn("model", F.coalesce("model", F.lit("none")))
-    return log.groupBy("prompt_version").pivot("verdict", ["answered", "partial", "abstained"]).agg(F.count(F.lit(1))).na.fill(0)
+    return log.groupBy("model").pivot("verdict", ["answered", "partial", "abstained"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def quota_share(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +203,7 @@ round((sum(coalesce(quotes_total, 0)) - sum(coalesce(quotes_dropped, 0))) / sum(
     "intent_breakdown": _ONE
     + _PCT.format(g="coalesce(intent, 'unknown')", t="l")
     + " SELECT intent, questions, answered, partial, abstained, p50 AS median FROM (SELECT coalesce(intent, 'unknown') AS intent, count(*) AS questions, count(*) FILTER (verdict = 'answered') AS answered, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'abstained') AS abstained FROM l GROUP BY 1) LEFT JOIN p ON g = intent",
-    "model_pivot": _ONE + " SELECT prompt_version, count(*) FILTER (verdict = 'answered') AS answered, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'abstained') AS abstained FROM l GROUP BY 1",
+    "model_pivot": _ONE + " SELECT coalesce(model, 'none') AS model, count(*) FILTER (verdict = 'answered') AS answered, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'abstained') AS abstained FROM l GROUP BY 1",
     "quota_share": _ONE + " SELECT model, CAST(sum(coalesce(quotes_total, 0)) AS BIGINT) AS used, round(least(1.0::DOUBLE, sum(coalesce(quotes_total, 0)) / 200000), 6) AS share FROM l WHERE model IS NOT NULL GROUP BY 1",
     "step_means": "SELECT event_type, CAST(floor(avg(value)) AS BIGINT) AS mean, count(*) AS n FROM events GROUP BY 1",
     "token_totals": "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1",

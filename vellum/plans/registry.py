@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import graph, hierarchy, ingest, labels, monitor, ranking, retrieval, runs, search
+from vellum.plans import graph, hierarchy, ingest, labels, library, monitor, ranking, retrieval, runs, search
 
-_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels, search, runs, graph]
+_MODULES = [hierarchy, ranking, retrieval, monitor, ingest, labels, search, runs, graph, library]
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,21 @@ class Cuts:
             pass
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        hadoop, files = _path(self.spark, path)
+        files.delete(hadoop, True)
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def sweep(spark: SparkSession, hours: float = 48.0) -> int:
+    """Remove cut tables that killed drivers left in the shared folder longer ago than that; how many there were."""
+    root, files = _path(spark, shared_dir(spark))
+    if not files.exists(root):
+        return 0
+    stale = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("vellum-") and s.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for path in stale:
+        files.delete(path, True)
+    return len(stale)

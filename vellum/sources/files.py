@@ -62,8 +62,10 @@ def publish(rows: DataFrame, root: str) -> str:
     out = files.create(staged, True)
     out.write(bytearray(path.encode()))
     out.close()
-    files.delete(pointer, False)
-    files.rename(staged, pointer)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(staged, pointer, options)  # readers see the old pointer or the new one
     return path
 
 

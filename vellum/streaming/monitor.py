@@ -31,11 +31,19 @@ def daily_counts(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return the result table."""
-    name = "t" + checkpoint.rstrip("/").rpartition("/")[2].replace("-", "")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return the result table, which lies beside the checkpoint.
+
+    In complete mode every batch replaces the table; in append mode a batch is one folder, so that a
+    batch that is run again after a failure replaces its own rows."""
+    root = checkpoint.rstrip("/") + "-result"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{root}/batch=-1")
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/batch={batch if mode == 'append' else 0}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(root).select(*stream.columns)
 
 
 def window_load(stream: DataFrame, key: str = "event_type") -> DataFrame:
