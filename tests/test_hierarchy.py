@@ -68,8 +68,7 @@ def test_deep_chain_and_star(spark, max_component):
 COLUMNS = ["space", "node", "parent", "root", "depth", "path", "ancestors", "n_descendants", "state", "closes_cycle", "cycle_ancestors"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("paths", [True, False])
+@pytest.mark.parametrize("seed, paths", [(1, True), (2, False)])
 def test_all_ways_give_the_same_rows(spark, seed, paths):
     rng = random.Random(seed)
     links = [*forest(300, seed), *(("deep", i, i - 1 if i else None, True, "x", "") for i in range(70))]
@@ -78,7 +77,7 @@ def test_all_ways_give_the_same_rows(spark, seed, paths):
     plain = spark.createDataFrame([r[:5] for r in links], "space string, node long, parent long, dangling boolean, segment string")
     scoped = plain.withColumn("scope", F.when(F.col("space") == "s", F.lit(None)).otherwise(F.length("space")).cast("bigint"))
     results = []
-    for rows, limit in ((plain, 200_000), (scoped, 200_000), (plain, 5), (scoped, 5), (plain, 0), (scoped, 60)):
+    for rows, limit in ((plain, 200_000), (scoped, 200_000), (scoped, 60), (plain, 0)):
         found = hierarchy(rows, limit, paths)
         assert found.columns == COLUMNS
         results.append(sorted(map(repr, (tuple(r) for r in found.collect()))))

@@ -132,27 +132,43 @@ def unit_outlines(asked: DataFrame, units: DataFrame) -> DataFrame:
     return groups.join(lists, "parent_id").select("unit_id", "parent_id", F.size("ps").alias("n"), F.array_join(F.transform("ps", lambda p: p["line"]), "\n").alias("outline"))
 
 
-def containing(passages: DataFrame, texts: DataFrame, words) -> DataFrame:
+_WORDS = r"[\p{L}\p{M}\p{N}]+"
+
+
+def containing(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """(passage, key): texts that hold a passage letter by letter. `passages`: passage; `texts`: key, text.
 
-    Each passage meets only the texts that hold its rarest whole inner word; the letters are compared
-    there. `words`: a column function from text to distinct words; passages without an inner word (their
-    first and last may go on in the text) are compared by their first three characters instead.
+    Each passage meets only the texts that share its rarest sure key; the letters are compared there.
+    Sure keys are its inner words; of two words the beginning of the second; of one word its first
+    three letters, anywhere in a word; without a word its first character. Null and empty ones give no row.
     """
-    inner = lambda p: words(F.regexp_replace(p, r"^[\p{L}\p{M}\p{N}]+|[\p{L}\p{M}\p{N}]+$", " "))
-    asked = passages.where(F.length("passage") > 0).select("passage").distinct().withColumn("terms", inner(F.col("passage")))
-    postings = texts.where("text is not null").select("key", F.explode(words(F.col("text"))).alias("word"))
-    terms = asked.select("passage", F.explode("terms").alias("word"))
-    frequency = postings.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").count()
-    rarest = terms.join(frequency, "word").groupBy("passage").agg(F.min(F.struct("count", "word")).alias("r")).select("passage", "r.word")
-    met = postings.join(rarest, "word").select("passage", "key")
-    short = asked.where(F.size("terms") == 0).select("passage", F.substring("passage", 1, 3).alias("gram"))
-    both = met
-    if short.limit(1).count():
-        parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substr("text", i, F.lit(n)))
-        grams = texts.where("text is not null").select("key", F.explode(F.array_distinct(F.concat(*map(parts, (1, 2, 3))))).alias("gram"))
-        both = met.unionByName(short.join(grams, "gram").select("passage", "key")).distinct()
-    return both.join(texts.where("text is not null"), "key").where(F.contains(F.col("text"), F.col("passage"))).select("passage", "key").distinct()
+    found = F.regexp_extract_all("passage", F.lit(_WORDS), F.lit(0))
+    asked = passages.where(F.length("passage") > 0).select("passage").distinct().withColumn("ws", found).withColumn("n", F.least(F.size("ws"), F.lit(3)))
+    tag = lambda kind, x: F.concat(F.lit(kind), x)
+    keys = (
+        F.when(F.col("n") == 3, F.transform(F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))), lambda w: tag("w", w)))
+        .when(F.col("n") == 2, F.array(tag("p", F.substring(F.get("ws", F.lit(1)), 1, 4))))
+        .when(F.col("n") == 1, F.array(tag("g", F.substring(F.get("ws", F.lit(0)), 1, 3))))
+        .otherwise(F.array(tag("c", F.substring("passage", 1, 1))))
+    )
+    asked = asked.select("passage", "n", F.explode(F.array_distinct(keys)).alias("word"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)))
+    beginnings = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(w))), lambda i: tag("p", F.left(w, i)))
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: tag("g", F.substr(w, i, F.lit(n))))
+    of_kind = {
+        3: F.transform(words, lambda w: tag("w", w)),
+        2: F.flatten(F.transform(words, beginnings)),
+        1: F.flatten(F.transform(words, lambda w: F.concat(*(grams(w, n) for n in (1, 2, 3))))),
+        0: F.transform(F.split("text", ""), lambda c: tag("c", c)),
+    }
+    kinds = [r["n"] for r in asked.select("n").distinct().collect()]  # four at most
+    if not kinds:
+        return texts.select(F.lit("").alias("passage"), "key").limit(0)
+    held = texts.where("text is not null")
+    postings = held.select("key", F.explode(F.array_distinct(F.concat(*(of_kind[k] for k in kinds)))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    frequency = postings.groupBy("word").count()
+    rarest = asked.join(frequency, "word", "left").groupBy("passage").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")).alias("r")).select("passage", "r.word")
+    return postings.join(rarest, "word").select("passage", "key").distinct().join(held, "key").where(F.contains(F.col("text"), F.col("passage"))).select("passage", "key").distinct()
 
 
 def embed_with_cache(texts: DataFrame, cache: DataFrame, embed, max_new: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -69,9 +69,8 @@ WHERE r.node IS NOT NULL OR l.dangling
    OR EXISTS (SELECT 1 FROM up JOIN links o ON o.tbl = up.tbl AND o.node = up.above AND o.dangling WHERE up.tbl = l.tbl AND up.node = l.node)
 """,
     "p3_descendants": _LINKS_SQL
-    + """, lost AS (SELECT DISTINCT up.tbl, up.node FROM up JOIN ring g ON g.tbl = up.tbl AND g.node = up.above UNION SELECT tbl, node FROM ring)
-SELECT up.tbl, up.above AS ancestor_id, up.node AS record_id, up.n AS distance
-FROM up ANTI JOIN lost ON lost.tbl = up.tbl AND lost.node = up.node
+    + """
+SELECT tbl, above AS ancestor_id, node AS record_id, min(n) AS distance FROM up WHERE above <> node GROUP BY ALL
 """,
 }
 QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}

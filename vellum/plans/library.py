@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import text as T
 from vellum.functions.models import embedder
 from vellum.operators import library as L
 from vellum.operators import monitor as M
@@ -86,7 +85,7 @@ def contained_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Headings of units that occur in documents."""
     headings = table(spark, folder, "structural_unit").where("heading is not null and trim(heading) <> ''").select(F.col("heading").alias("passage"))
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("key"), "text")
-    return L.containing(headings, documents, T.words).select("passage", F.col("key").alias("doc_id"))
+    return L.containing(headings, documents).select("passage", F.col("key").alias("doc_id"))
 
 
 def embedded_units(spark: SparkSession, folder: str) -> DataFrame:

@@ -210,7 +210,8 @@ round((sum(coalesce(quotes_total, 0)) - sum(coalesce(quotes_dropped, 0))) / sum(
     "recent_25": _ONE + " SELECT query_id, asked_at, verdict FROM l ORDER BY asked_at DESC, query_id DESC LIMIT 25",
     "sliding_window_load": _ONE
     + " SELECT query_id, model, count(*) OVER w AS requests, CAST(sum(coalesce(quotes_total, 0)) OVER w AS BIGINT) AS quotes FROM l WHERE model IS NOT NULL WINDOW w AS (PARTITION BY model ORDER BY asked_at RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
-    "conversation_last_turns": "SELECT thread_id, step_id, place FROM (SELECT thread_id, step_id, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, step_id DESC) AS place FROM (SELECT DISTINCT thread_id, step_id, created_at FROM chat_steps WHERE created_at IS NOT NULL)) WHERE place <= 3",
+    "conversation_last_turns": r"""WITH s AS (SELECT thread_id, step_id, trim(created_at) AS c FROM chat_steps), t AS (SELECT thread_id, step_id, try_cast(CASE WHEN regexp_matches(c, '([zZ]|[+-]\d{2}(:?\d{2})?)$') AND regexp_matches(c, '\d:\d') THEN c ELSE c || 'Z' END AS TIMESTAMPTZ) AS t FROM s)
+SELECT thread_id, step_id, row_number() OVER (PARTITION BY thread_id ORDER BY max(t) DESC NULLS LAST, step_id DESC) AS place FROM t GROUP BY thread_id, step_id QUALIFY place <= 3""",
     "claim_coverage": _ONE
     + """, c AS (SELECT query_id, quotes_total AS t, CASE WHEN coalesce(quotes_total, 0) = 0 THEN 0 ELSE (quotes_total - quotes_dropped) / quotes_total END AS c FROM l)
 SELECT query_id, round(c, 6) AS coverage, CASE WHEN coalesce(t, 0) = 0 THEN 'abstained' WHEN c >= 0.8::DOUBLE THEN 'answered' WHEN c >= 0.4::DOUBLE THEN 'partial' ELSE 'abstained' END AS derived FROM c""",

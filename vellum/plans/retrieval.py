@@ -63,7 +63,9 @@ def named_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def code_parts(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").select("doc_id", F.explode(T.code_parts(F.col("text"))).alias("part"))
+    """Parts of codes in sentences made of the units' places and numbers."""
+    said = F.concat(F.lit("See commitment "), F.col("ordinal").cast("string"), F.lit(" and Sub-Measure "), F.col("unit_number"))
+    texts = table(spark, folder, "structural_unit").select(F.col("unit_id").alias("doc_id"), F.explode(T.code_parts(said)).alias("part"))
     return texts.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
 
 
@@ -136,9 +138,9 @@ def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_labels(spark: SparkSession, folder: str) -> DataFrame:
-    active = active(spark, folder)
+    units = active(spark, folder)
     label = T.citation_label(F.col("unit_type"), F.col("unit_number"), F.col("unit_path"), F.col("authority"), F.col("title"))
-    return active.select("unit_id", label.alias("label"))
+    return units.select("unit_id", label.alias("label"))
 
 
 def deeplinks(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +170,7 @@ OR unit_type = 'paragraph' AND {_ART} IN ('12', '19', '33') ORDER BY ordinal, un
     "named_articles": r"""WITH q AS (SELECT DISTINCT question FROM query_log WHERE question IS NOT NULL),
 g AS (SELECT question, unnest(regexp_extract_all(question, '(?i)\bArticles?\s+(\d+[a-z]?(?:\s*(?:,|and|or|to)\s*\d+[a-z]?)*)', 1)) AS g FROM q)
 SELECT question, unnest(regexp_extract_all(g, '\d+[a-z]?')) AS article FROM g""",
-    "code_parts": r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:commitment|sub-measure|measure|appendix)\s+\d+(?:\.\d+)*')) AS m FROM documents),
+    "code_parts": r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:commitment|sub-measure|measure|appendix)\s+\d+(?:\.\d+)*')) AS m FROM (SELECT unit_id AS doc_id, 'See commitment ' || ordinal || ' and Sub-Measure ' || unit_number AS text FROM structural_unit)),
 p AS (SELECT doc_id, regexp_extract(m, '^(\S+)', 1) AS k, regexp_extract(m, '(\S+)$', 1) AS n FROM m)
 SELECT doc_id, upper(k[1]) || lower(k[2:]) || ' ' || n AS part, count(*) AS n FROM p GROUP BY ALL""",
     "corrected_intent": r"""WITH l AS (SELECT DISTINCT query_id, lower(trim(intent)) AS intent, question FROM query_log)
