@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Weight of a byte that no piece covers; it is one token.
 BYTE = -40.0
-#: Ranks of a pair-merging vocabulary are no probabilities: the offset flattens the first of them. With
-#: it the counts are within 1 % of the tokenizer's own in each language (README).
+#: Ranks of a pair-merging vocabulary are no probabilities: the offset flattens the first of them. It
+#: was chosen from several on a sample of units; the README has the error there and on other rows.
 OFFSET = 45
 #: Segments whose counts a worker remembers.
 REMEMBER = 500_000
